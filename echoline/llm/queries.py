@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echoline.llm import simhash
 from echoline.llm.common import table
 from echoline.llm.exact_dedup import ExactDedup
 from echoline.llm.mixing import Mix
@@ -59,5 +60,9 @@ SELECT c.doc_id, c.size, c.source_size, c.target::DOUBLE AS target,
 FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source
 """
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op9_mixing": op9_mixing}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.judged(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op7_exact_dedup": op7_exact_dedup, "op9_mixing": op9_mixing}
 SQL = {"op7_exact_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
