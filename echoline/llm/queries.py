@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoline.llm import decontaminate, simhash
+from echoline.llm import decontaminate, langid, simhash
 from echoline.llm.common import table
 from echoline.llm.exact_dedup import ExactDedup
 from echoline.llm.mixing import Mix
@@ -68,5 +68,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op4_decontamination": op4_decontamination, "op3_simhash": op3_simhash, "op7_exact_dedup": op7_exact_dedup, "op9_mixing": op9_mixing}
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.judged(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_language_id": op6_language_id, "op4_decontamination": op4_decontamination, "op3_simhash": op3_simhash, "op7_exact_dedup": op7_exact_dedup, "op9_mixing": op9_mixing}
 SQL = {"op7_exact_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
