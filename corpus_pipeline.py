@@ -1,8 +1,63 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages over ``documents``, each judging all that the stage before kept.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and
+read again as the next stage's docs. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from echoline.llm.common import materialise, table
+from echoline.llm.decontaminate import decontaminate
+from echoline.llm.exact_dedup import exact_dedup
+from echoline.llm.langid import filter_language
+from echoline.llm.mixing import mix
+from echoline.llm.simhash import near_dedup
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a main language go."""
+    return filter_language(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the smallest doc_id stays."""
+    return exact_dedup(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return near_dedup(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with their copies."""
+    return mix(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
+    ("decontamination", clean),
+    ("mixing", mixed),
+]
+
+#: Language identification and fingerprints are not SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialise(docs, name)
+    return docs
