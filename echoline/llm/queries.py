@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoline.llm import decontaminate, langid, lm_score, simhash
+from echoline.llm import decontaminate, langid, lm_score, pii, simhash
 from echoline.llm.common import table
 from echoline.llm.exact_dedup import ExactDedup
 from echoline.llm.mixing import Mix
@@ -76,5 +76,9 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_lm_score": op5_lm_score, "op6_language_id": op6_language_id, "op4_decontamination": op4_decontamination, "op3_simhash": op3_simhash, "op7_exact_dedup": op7_exact_dedup, "op9_mixing": op9_mixing}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.judged(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_pii": op10_pii, "op5_lm_score": op5_lm_score, "op6_language_id": op6_language_id, "op4_decontamination": op4_decontamination, "op3_simhash": op3_simhash, "op7_exact_dedup": op7_exact_dedup, "op9_mixing": op9_mixing}
 SQL = {"op7_exact_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
