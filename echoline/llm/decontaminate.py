@@ -3,8 +3,11 @@
 Texts and items are lower-cased, punctuation becomes white space, and white space one
 blank. An item of m characters may differ in k = floor(max_error * m) edits. It is cut
 into k + 1 pieces: k edits spoil k of them at most, so one piece is found as it is. An
-Aho-Corasick automaton finds the pieces of all items in one pass; each hit names a
-diagonal, and Myers' bit-parallel distance verifies the text around it.
+Aho-Corasick automaton finds the pieces of all items in one pass, and Myers' bit-parallel
+distance verifies the text around each hit. Pieces are the leaves of a binary tree in which
+n neighbouring pieces may have n - 1 edits: an occurrence within the budget has a leaf all of
+whose ancestors keep to theirs, so a hit is verified upwards, short spans first, and nearly
+all chance hits end after a few characters.
 
 Items are read in blocks of ``block_chars`` characters, so what a task holds is bounded
 whatever the number of items; all documents are held against every block.
@@ -40,6 +43,24 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def ancestors(cuts: list[tuple[int, str]], size: int) -> list[list[tuple[int, int, int]]]:
+    """For each piece its ancestors below the root, nearest first: (offset, end, edits allowed)."""
+    paths: list[list[tuple[int, int, int]]] = [[] for _ in cuts]
+    edges = [a for a, _ in cuts] + [size]
+
+    def split(low: int, high: int) -> None:
+        if high - low > 1:
+            middle = (low + high) // 2
+            split(low, middle)
+            split(middle, high)
+            if high - low < len(cuts):
+                for i in range(low, high):
+                    paths[i].append((edges[low], edges[high], high - low - 1))
+
+    split(0, len(cuts))
+    return paths
+
+
 def myers(masks: dict[str, int], m: int, text: str, k: int) -> tuple[int, int]:
     """Least edit distance of the pattern to any part of ``text`` that ends somewhere, and the first such end; (k + 1, -1) if over ``k``."""
     top, full = 1 << (m - 1), (1 << m) - 1
@@ -80,12 +101,15 @@ class Matcher:
         import ahocorasick
 
         self.items = items
-        self.masks: dict[int, dict[str, int]] = {}
+        self.masks: dict[tuple[int, int, int], dict[str, int]] = {}
         self.back: dict[int, dict[str, int]] = {}
-        places: dict[str, list[tuple[int, int]]] = {}
+        self.paths = []
+        places: dict[str, list[tuple[int, int, int]]] = {}
         for i, (_, text, k) in enumerate(items):
-            for offset, piece in pieces(text, k):
-                places.setdefault(piece, []).append((i, offset))
+            cuts = pieces(text, k)
+            self.paths.append(ancestors(cuts, len(text)))
+            for leaf, (offset, piece) in enumerate(cuts):
+                places.setdefault(piece, []).append((i, leaf, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -94,18 +118,32 @@ class Matcher:
 
     def find(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """(item id, distance, start, end) of the best place of every item that is found; of equal ones the first."""
-        diagonals: dict[int, list[int]] = {}
+        diagonals: dict[int, set[int]] = {}
         if not self.items:
             return []
         for end, (length, where) in self.automaton.iter(text):
-            for i, offset in where:
-                diagonals.setdefault(i, []).append(end + 1 - length - offset)
+            for i, leaf, offset in where:
+                at = end + 1 - length - offset
+                if at not in diagonals.get(i, ()) and self._plausible(i, leaf, at, text):
+                    diagonals.setdefault(i, set()).add(at)
         out = []
         for i, starts in sorted(diagonals.items()):
-            if hit := self._verify(i, sorted(set(starts)), text):
+            if hit := self._verify(i, sorted(starts), text):
                 out.append((self.items[i][0], *hit))
         return out
 
+    def _masks(self, i: int, a: int, b: int) -> dict[str, int]:
+        if (i, a, b) not in self.masks:
+            self.masks[i, a, b] = masks_of(self.items[i][1][a:b])
+        return self.masks[i, a, b]
+
+    def _plausible(self, i: int, leaf: int, at: int, text: str) -> bool:
+        """Whether all ancestors of a piece that is found on diagonal ``at`` keep to their edits."""
+        for a, b, k in self.paths[i][leaf]:
+            if myers(self._masks(i, a, b), b - a, text[max(0, at + a - k) : max(0, at + b + k)], k)[1] < 0:
+                return False
+        return True
+
     def _verify(self, i: int, starts: list[int], text: str) -> tuple[int, int, int] | None:
         _, item, k = self.items[i]
         m = len(item)
@@ -114,8 +152,8 @@ class Matcher:
         exact = text.find(item)
         if exact >= 0:
             return 0, exact, exact + m
-        if i not in self.masks:
-            self.masks[i], self.back[i] = masks_of(item), masks_of(item[::-1])
+        if i not in self.back:
+            self.back[i] = masks_of(item[::-1])
         best: tuple[int, int, int] | None = None
         done = 0
         at = 0
@@ -126,7 +164,7 @@ class Matcher:
                 high = starts[at] + m + k
                 at += 1
             most = k if best is None else best[0] - 1
-            distance, end = myers(self.masks[i], m, text[low:high], most)
+            distance, end = myers(self._masks(i, 0, m), m, text[low:high], most)
             if end >= 0:
                 end += low
                 _, back = myers(self.back[i], m, text[max(0, end - m - k) : end][::-1], distance)
