@@ -3,7 +3,7 @@ registries: suppliers are sensors, events are recordings of the sensor ``user_id
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoline.functions import constants as K
@@ -101,18 +101,22 @@ def _hav(a: str = "a", b: str = "b") -> str:
 
 
 _SIDES = "pairs p JOIN sensors a ON p.sensor_a = a.sensor_id JOIN sensors b ON p.sensor_b = b.sensor_id"
-_AT = [[F.col(f"{c}_{x}") for c in ("latitude", "longitude", "elevation")] for x in "ab"]
+
+
+def ends() -> list[list[Column]]:
+    """Latitude, longitude and elevation of both sides."""
+    return [[F.col(f"{c}_{x}") for c in ("latitude", "longitude", "elevation")] for x in "ab"]
 
 
 @query(f"WITH {_SENSORS}, {_PAIRS} SELECT sensor_a, sensor_b, round({_hav()}, 4) AS gps_m FROM {_SIDES}")
 def haversine_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _AT
+    a, b = ends()
     return sides(spark, sf_dir).select("sensor_a", "sensor_b", r(P.haversine(a[0], a[1], b[0], b[1]), 4).alias("gps_m"))
 
 
 @query(f"WITH {_SENSORS}, {_PAIRS} SELECT sensor_a, sensor_b, round(sqrt(pow({_hav()}, 2) + pow(coalesce(b.depth, 0) - coalesce(a.depth, 0), 2)), 4) AS slant_m FROM {_SIDES}")
 def geo_3d_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _AT
+    a, b = ends()
     flat = P.haversine(a[0], a[1], b[0], b[1])
     return sides(spark, sf_dir).select("sensor_a", "sensor_b", r(P.distance_3d(flat, F.col("depth_a"), F.col("depth_b")), 4).alias("slant_m"))
 
@@ -131,7 +135,7 @@ FROM c
 """)
 def leak_position_slerp(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.explode(F.array(*map(F.lit, (0.0, 0.3, 0.5, 1.0, 1.2)))).alias("share")
-    at = sides(spark, sf_dir).select("*", share).withColumn("gps", P.interpolate(*_AT, F.col("share")))
+    at = sides(spark, sf_dir).select("*", share).withColumn("gps", P.interpolate(*ends(), F.col("share")))
     return at.select("sensor_a", "sensor_b", "share", *[r(F.col(f"gps.{c}")).alias(c) for c in ("latitude", "longitude", "elevation")])
 
 
@@ -186,16 +190,16 @@ def registry_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for every rule that a sensor or pair breaks."""
     s, p, both = sensors(spark, sf_dir), pairs(spark, sf_dir), sides(spark, sf_dir)
     known = table(spark, sf_dir, "nation").filter("n_regionkey <> 2")
-    a, b = _AT
+    a, b = ends()
     one = lambda df, rule, *c: df.select(F.lit(rule).alias("rule"), F.col(c[0]).alias("sensor_id"), (F.col(c[1]) if len(c) > 1 else F.lit(None).cast("long")).alias("other"))
-    ends = ("sensor_a", "sensor_b")
+    both_ids = ("sensor_a", "sensor_b")
     found = [
         one(s.join(known, F.col("site_id") == F.col("n_nationkey"), "left_anti"), "missing site", "sensor_id"),
         one(s.filter(~F.col("latitude").between(-90, 90) | ~F.col("longitude").between(-180, 180)), "position out of range", "sensor_id"),
-        one(p.join(s, F.col("sensor_b") == F.col("sensor_id"), "left_anti"), "unknown sensor", *ends),
-        one(p.filter(~F.col("length").between(K.MIN_SEPARATION_M, K.MAX_SEPARATION_M)), "separation", *ends),
-        one(p.filter(P.wave_speed(F.col("material")).isNull()), "unknown material", *ends),
-        one(both.filter(F.abs(P.haversine(a[0], a[1], b[0], b[1]) - F.col("length")) > K.TOLERANCE_M), "distance disagrees", *ends),
+        one(p.join(s, F.col("sensor_b") == F.col("sensor_id"), "left_anti"), "unknown sensor", *both_ids),
+        one(p.filter(~F.col("length").between(K.MIN_SEPARATION_M, K.MAX_SEPARATION_M)), "separation", *both_ids),
+        one(p.filter(P.wave_speed(F.col("material")).isNull()), "unknown material", *both_ids),
+        one(both.filter(F.abs(P.haversine(a[0], a[1], b[0], b[1]) - F.col("length")) > K.TOLERANCE_M), "distance disagrees", *both_ids),
     ]
     out = found[0]
     for more in found[1:]:
