@@ -26,6 +26,7 @@ a uniform choice among unknown words and the end.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,27 +49,33 @@ def tokens(text: bytes | None) -> list[bytes]:
 class Backoff:
     """A weighted automaton with failure arcs, from n-gram weights of any order.
 
-    ``arcs``: (state, symbol) -> (weight, next state); ``fails``: state -> (weight, state);
-    ``root``: the state without a failure arc; ``unknown``: the root's weight for other symbols.
+    Arc i leads from ``states[i]`` by ``symbols[i]`` to ``targets[i]`` with ``weights[i]``; states are -1
+    and up, symbols under 2**32. ``fails``: state -> (weight, state); ``root``: the state without a
+    failure arc; ``unknown``: the root's weight for other symbols.
     """
 
-    def __init__(self, arcs: dict[tuple[int, int], tuple[float, int]], fails: dict[int, tuple[float, int]], root: int, unknown: float):
-        self.arcs, self.fails, self.root, self.unknown = arcs, fails, root, unknown
+    def __init__(self, states: np.ndarray, symbols: np.ndarray, weights: np.ndarray, targets: np.ndarray, fails: dict[int, tuple[float, int]], root: int, unknown: float):
+        keys = (np.asarray(states, np.int64) + 1) << 32 | np.asarray(symbols, np.int64)
+        self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        self.weights, self.targets = array("d", np.asarray(weights, float).tobytes()), array("q", np.asarray(targets, np.int64).tobytes())
+        self.fails, self.root, self.unknown = fails, root, unknown
 
     def score(self, symbols: list[int], state: int) -> float:
         """log10 probability of the symbols, in one traversal from ``state``."""
-        arcs, fails, root, unknown, total = self.arcs, self.fails, self.root, self.unknown, 0.0
+        arcs, weights, targets, fails, root, total = self.arcs, self.weights, self.targets, self.fails, self.root, 0.0
         for symbol in symbols:
-            arc = arcs.get((state, symbol))
+            arc = arcs.get((state + 1) << 32 | symbol)
             while arc is None:
                 if state == root:
-                    arc = (unknown, root)
                     break
                 weight, state = fails[state]
                 total += weight
-                arc = arcs.get((state, symbol))
-            total += arc[0]
-            state = arc[1]
+                arc = arcs.get((state + 1) << 32 | symbol)
+            if arc is None:
+                total += self.unknown
+            else:
+                total += weights[arc]
+                state = targets[arc]
         return total
 
 
@@ -220,22 +227,18 @@ def automaton(block: Block, counts: np.ndarray, after: np.ndarray, kinds: np.nda
     free[states] = d1 * kinds[states] / after[states]
     live = np.where(after > 0, np.arange(len(counts)), root)
     seen = np.flatnonzero(pairs > 0)
-    s, w = block.state[seen], block.symbol[seen]
+    s, w, words = block.state[seen], block.symbol[seen], np.flatnonzero(counts > 0)
     p = np.log10((pairs[seen] - d1) / after[s] + free[s] * p0[w])
-    to = live.tolist()
-    arcs = dict(zip(zip(s.tolist(), w.tolist(), strict=True), zip(p.tolist(), live[w].tolist(), strict=True), strict=True))
-    weights = np.log10(p0).tolist()
-    for x in np.flatnonzero(counts > 0).tolist():
-        arcs[root, x] = (weights[x], to[x])
     fails = {x: (y, root) for x, y in zip(states.tolist(), np.log10(free[states]).tolist(), strict=True)}
     unknown = float(np.log10(root_probability(np.zeros(1), n, v, d0)[0]))
-    return Backoff(arcs, fails, root, unknown)
+    ends = [np.concatenate(x) for x in ((s, np.full(len(words), root)), (w, words), (p, np.log10(p0[words])), (live[w], live[words]))]
+    return Backoff(*ends, fails, root, unknown)
 
 
 class Scores:
     """Scores every row of ``docs``; see the module for the model and the plan."""
 
-    def __init__(self, docs: DataFrame, block_mb: float = 8.0, shard_entries: int = 1_500_000):
+    def __init__(self, docs: DataFrame, block_mb: float = 3.0, shard_entries: int = 600_000):
         self.docs = docs
         size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
         n_bytes = (size[0] or 0) + size[1]

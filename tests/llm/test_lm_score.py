@@ -72,7 +72,7 @@ def test_automaton_of_higher_order():
     """Failure arcs over two levels: states are histories of 0, 1 and 2 symbols."""
     arcs = {(0, 1): (-1.0, 1), (0, 2): (-2.0, 2), (1, 2): (-0.5, 12), (12, 1): (-0.25, 21)}
     fails = {1: (-0.1, 0), 2: (-0.2, 0), 12: (-0.3, 2), 21: (-0.4, 1)}
-    machine = Backoff(arcs, fails, 0, -9.0)
+    machine = Backoff(*zip(*((s, w, p, t) for (s, w), (p, t) in arcs.items())), fails, 0, -9.0)
     assert machine.score([1, 2, 1], 0) == pytest.approx(-1.0 - 0.5 - 0.25)
     assert machine.score([1, 2, 2], 0) == pytest.approx(-1.0 - 0.5 + (-0.3 - 0.2 - 2.0))
     assert machine.score([1, 7, 1], 0) == pytest.approx(-1.0 + (-0.1 - 9.0) - 1.0)
