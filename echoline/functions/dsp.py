@@ -552,6 +552,14 @@ def alignment_shift(reference: np.ndarray, x: np.ndarray, reach: int = 1000) ->
     return int(low + r[low : centre + reach].argmax() - centre)
 
 
+def shift(x: np.ndarray, by: int) -> np.ndarray:
+    """Moved right by ``by`` samples (left if negative), filled with zeros."""
+    out = np.zeros_like(x)
+    if abs(by) < len(x):
+        out[max(0, by) : len(x) + min(0, by)] = x[max(0, -by) : len(x) - max(0, by)]
+    return out
+
+
 def average_linkage(distances: np.ndarray, limit: float) -> np.ndarray:
     """Cluster ids from 0 in the order of first members; merges while the mean distance is within ``limit``."""
     groups = [[i] for i in range(len(distances))]
