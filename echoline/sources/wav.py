@@ -144,7 +144,8 @@ def integrity(content: Column) -> Column:
         edges = np.flatnonzero(np.diff(np.concatenate([[0], zero.view(np.int8), [0]]))).reshape(-1, 2)
         longest = int((edges[:, 1] - edges[:, 0]).max(initial=0))
         trailing = int(edges[-1, 1] - edges[-1, 0]) if len(edges) and edges[-1, 1] == len(zero) else 0
-        found = [f"high_zero_ratio={zero.mean():.3f}"] * (zero.mean() >= 0.95) + [f"long_zero_run={longest}"] * (longest >= 2048) + [f"trailing_zero_run={trailing}"] * (trailing >= 512)
+        warnings = ((zero.mean() >= 0.95, f"high_zero_ratio={zero.mean():.3f}"), (longest >= 2048, f"long_zero_run={longest}"), (trailing >= 512, f"trailing_zero_run={trailing}"))
+        found = [text for holds, text in warnings if holds]
         return True, ";".join(found) or "ok"
 
     @F.pandas_udf("ok boolean, message string")

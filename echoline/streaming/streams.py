@@ -15,14 +15,19 @@ def files(spark: SparkSession, path: str, schema: StructType | str, per_trigger:
 
 def interval_pairs(a: DataFrame, b: DataFrame, within_s: int = 60, lateness: str = "10 minutes") -> DataFrame:
     """Stream-stream form of the interval join. Both sides carry a watermark and the condition bounds the
-    times on both, so Spark can drop state that no later row can match.
+    times on both, so Spark can drop state that no later row can match. As in batch, time buckets make
+    it an equi-join, which streams need.
 
     ``a``: sensor_a, recording_a, ts_a; ``b``: sensor_b, recording_b, ts_b (TIMESTAMP).
     """
-    left, right = a.withWatermark("ts_a", lateness), b.withWatermark("ts_b", lateness)
+    width = int(within_s * 1_000_000)
+    bucket = lambda ts: F.floor(F.unix_micros(ts) / width)
+    left = a.withWatermark("ts_a", lateness).withColumn("_bucket", F.explode(F.array(*[bucket("ts_a") + d for d in (-1, 0, 1)])))
+    right = b.withWatermark("ts_b", lateness).withColumn("_own", bucket("ts_b"))
     gap = F.expr(f"INTERVAL {int(within_s)} SECONDS")
-    meet = (F.col("ts_b") >= F.col("ts_a") - gap) & (F.col("ts_b") <= F.col("ts_a") + gap) & (F.col("sensor_a") < F.col("sensor_b"))
-    return left.join(right, meet).withColumn("drift_s", F.abs(F.unix_micros("ts_a") - F.unix_micros("ts_b")) / 1e6)
+    meet = (F.col("_bucket") == F.col("_own")) & (F.col("ts_b") >= F.col("ts_a") - gap) & (F.col("ts_b") <= F.col("ts_a") + gap) & (F.col("sensor_a") < F.col("sensor_b"))
+    out = left.join(right, meet).drop("_bucket", "_own")
+    return out.withColumn("drift_s", F.abs(F.unix_micros("ts_a") - F.unix_micros("ts_b")) / 1e6)
 
 
 def new_recordings(catalogue: DataFrame, ts: str = "ts", lateness: str = "1 day") -> DataFrame:
