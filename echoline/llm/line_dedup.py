@@ -31,7 +31,11 @@ _M, _PER, _BITS = 32, 4, 16
 
 def line_key(line: Column) -> Column:
     """A hash of the normalised line; null for a blank one."""
-    plain = F.trim(F.regexp_replace(line, SPACE, " "))
+    #: Few lines need the pattern; looking for what it would change is much cheaper.
+    odd = F.lit(False)
+    for blank in ("  ", "\t", "\r", "\v", "\f"):
+        odd = odd | F.contains(line, F.lit(blank))
+    plain = F.trim(F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line))
     return F.when(plain != "", F.xxhash64(plain))
 
 
