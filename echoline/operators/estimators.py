@@ -12,7 +12,7 @@ from echoline.functions import constants as K
 from echoline.functions import dsp
 from echoline.functions import physics as P
 from echoline.operators import relational as R
-from echoline.operators.kernels import array_kernel, struct_kernel
+from echoline.operators.kernels import array_kernel, by_length, struct_kernel
 
 _PEAKS = "array<struct<lag:double,height:double,snr:double,sharpness:double,band:string>>"
 
@@ -30,19 +30,28 @@ def locate(pairs: DataFrame, rate: float = K.SAMPLE_RATE) -> DataFrame:
     return c.withColumns({"conf": conf, "from_a": at, "from_b": F.col("length") - at, "message": message}).drop("c", "k")
 
 
-def _detect(a: np.ndarray, b: np.ndarray, rate: float, per_band: int, height: float) -> list[dict[str, object]]:
+def _peaks(r: np.ndarray, band: str, gap: int, per_band: int, height: float) -> list[dict[str, object]]:
+    """The highest peaks of one correlation, with what an estimate needs."""
+    at = dsp.find_peaks(r, height * np.abs(r).max(), gap)
+    tail = min(100, len(r) // 4)
+    noise = (np.concatenate([r[:tail], r[-tail:]]) ** 2).mean() + 1e-10
     out = []
-    gap = max(1, int(0.01 * rate))
+    for k in at[np.argsort(-r[at], kind="stable")[:per_band]]:
+        other = np.abs(np.concatenate([r[: max(0, k - gap)], r[k + gap + 1 :]])).max(initial=0.0)
+        bend = 2 * (2 * r[k] - r[k - 1] - r[k + 1])
+        shift = (r[k + 1] - r[k - 1]) / bend if abs(bend) > 1e-10 else 0.0
+        out.append({"lag": float(k + shift - len(r) // 2), "height": float(r[k]), "snr": float(10 * np.log10(r[k] ** 2 / noise)), "sharpness": float(abs(r[k]) / other) if other > 0 else float("inf"), "band": band})
+    return out
+
+
+def _detect(a: np.ndarray, b: np.ndarray, rate: float, per_band: int, height: float) -> list[list[dict[str, object]]]:
+    """Peaks of all bands for a batch of pairs; filters run over all rows at once."""
+    out: list[list[dict[str, object]]] = [[] for _ in a]
+    most, gap = min(a.shape[1] - 1, int(K.MAX_DELAY_S * rate)), max(1, int(0.01 * rate))
     for band, (low, high) in K.BANDS.items():
-        r = dsp.gcc(dsp.bandpass(a[None], low, high, rate), dsp.bandpass(b[None], low, high, rate), "phat", min(len(a) - 1, int(K.MAX_DELAY_S * rate)), True)[0]
-        at = dsp.find_peaks(r, height * np.abs(r).max(), gap)
-        tail = min(100, len(r) // 4)
-        noise = (np.concatenate([r[:tail], r[-tail:]]) ** 2).mean() + 1e-10
-        for k in at[np.argsort(-r[at], kind="stable")[:per_band]]:
-            other = np.abs(np.concatenate([r[: max(0, k - gap)], r[k + gap + 1 :]])).max(initial=0.0)
-            bend = 2 * (2 * r[k] - r[k - 1] - r[k + 1])
-            shift = (r[k + 1] - r[k - 1]) / bend if abs(bend) > 1e-10 else 0.0
-            out.append({"lag": float(k + shift - len(r) // 2), "height": float(r[k]), "snr": float(10 * np.log10(r[k] ** 2 / noise)), "sharpness": float(abs(r[k]) / other) if other > 0 else float("inf"), "band": band})
+        r = dsp.gcc(dsp.bandpass(a, low, high, rate), dsp.bandpass(b, low, high, rate), "phat", most, True)
+        for found, row in zip(out, r, strict=True):
+            found += _peaks(row, band, gap, per_band, height)
     return out
 
 
@@ -51,7 +60,11 @@ def detect_many(pairs: DataFrame, rate: float = K.SAMPLE_RATE, per_band: int = 5
 
     @F.pandas_udf(_PEAKS)
     def peaks(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_detect(np.asarray(x, float), np.asarray(y, float), rate, per_band, height) for x, y in zip(a, b, strict=True)])
+        out: list[object] = [None] * len(a)
+        for rows, (x, y) in by_length(a, b):
+            for i, found in zip(rows, _detect(x, y, rate, per_band, height), strict=True):
+                out[i] = found
+        return pd.Series(out)
 
     p = pairs.select("pair_id", "length", "speed", F.explode(peaks("a", "b")).alias("p")).select("pair_id", "length", "speed", "p.*")
     delay = -F.col("lag") / rate

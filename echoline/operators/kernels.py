@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _by_length(*columns: pd.Series) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+def by_length(*columns: pd.Series) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """Row numbers of equal lengths, with their signals stacked; null and empty signals are left out."""
     sizes: dict[tuple[int, ...], list[int]] = {}
     for i, row in enumerate(zip(*columns, strict=True)):
@@ -25,7 +25,7 @@ def array_kernel(f: Callable[..., np.ndarray], *columns: Column) -> Column:
 
     def run(*series: pd.Series) -> pd.Series:
         out: list[object] = [None] * len(series[0])
-        for rows, signals in _by_length(*series):
+        for rows, signals in by_length(*series):
             for i, y in zip(rows, f(*signals), strict=True):
                 out[i] = y.reshape(-1)
         return pd.Series(out)
@@ -39,7 +39,7 @@ def struct_kernel(f: Callable[..., dict[str, np.ndarray]], fields: str, *columns
 
     def run(*series: pd.Series) -> pd.DataFrame:
         out = {n: [None] * len(series[0]) for n in names}
-        for rows, signals in _by_length(*series):
+        for rows, signals in by_length(*series):
             found = f(*signals)
             for n in names:
                 for i, y in zip(rows, found[n], strict=True):

@@ -77,15 +77,18 @@ def sensor_pairs(spark: SparkSession, count: int, seed: int = 42, n: int = 4096,
     """pair_id, length, speed, source_m and both sensors' signals: broad-band noise that reaches B by (length - 2x)/speed later."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edge = int(length / speed * rate) + 1
         for batch in batches:
-            for i in batch.id:
-                rng = np.random.default_rng([seed, i])
-                x = rng.uniform(5, length - 5)
+            made = [np.random.default_rng([seed, i]) for i in batch.id]
+            at = [rng.uniform(5, length - 5) for rng in made]
+            #: One filter run for the whole batch.
+            sources = dsp.bandpass(np.stack([rng.normal(0, 1, n + 2 * edge) for rng in made]), 150, 1400, rate) if made else []
+            rows = []
+            for i, x, rng, source in zip(batch.id, at, made, sources, strict=True):
                 lag = int(round((length - 2 * x) / speed * rate))
-                edge = int(length / speed * rate) + 1
-                source = dsp.bandpass(rng.normal(0, 1, (1, n + 2 * edge)), 150, 1400, rate)[0]
                 a, b = source[edge : edge + n], source[edge - lag : edge - lag + n]
-                hear = lambda s: (s + rng.normal(0, 0.1 * s.std(), n)).astype(np.float32)
-                yield pd.DataFrame({"pair_id": [i], "length": [length], "speed": [speed], "source_m": [x], "a": [hear(a)], "b": [hear(b)]})
+                hear = lambda s, rng=rng: (s + rng.normal(0, 0.1 * s.std(), n)).astype(np.float32)
+                rows.append((i, length, speed, x, hear(a), hear(b)))
+            yield pd.DataFrame(rows, columns=["pair_id", "length", "speed", "source_m", "a", "b"])
 
     return spark.range(count).mapInPandas(run, "pair_id long, length double, speed double, source_m double, a array<float>, b array<float>")

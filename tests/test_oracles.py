@@ -30,11 +30,11 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
-    got = catalogue.queries()[name](spark, DATA).toPandas()
     sql = catalogue.oracle_sql().get(name)
     if sql is None:
-        assert len(got)
+        assert catalogue.queries()[name](spark, "/root/testdata/sf0.01").count()
         return
+    got = catalogue.queries()[name](spark, DATA).toPandas()
     want = con.sql(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
