@@ -26,7 +26,6 @@ a uniform choice among unknown words and the end.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,35 +46,53 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 class Backoff:
-    """A weighted automaton with failure arcs, from n-gram weights of any order.
+    """A weighted automaton with failure arcs, from n-gram weights of any order, in sorted arrays.
 
     Arc i leads from ``states[i]`` by ``symbols[i]`` to ``targets[i]`` with ``weights[i]``; states are -1
-    and up, symbols under 2**32. ``fails``: state -> (weight, state); ``root``: the state without a
-    failure arc; ``unknown``: the root's weight for other symbols.
+    and up, symbols under 2**32. ``fails``: states, weights and targets of their failure arcs; ``root``:
+    the state without a failure arc; ``unknown``: the root's weight for other symbols.
     """
 
-    def __init__(self, states: np.ndarray, symbols: np.ndarray, weights: np.ndarray, targets: np.ndarray, fails: dict[int, tuple[float, int]], root: int, unknown: float):
-        keys = (np.asarray(states, np.int64) + 1) << 32 | np.asarray(symbols, np.int64)
-        self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        self.weights, self.targets = array("d", np.asarray(weights, float).tobytes()), array("q", np.asarray(targets, np.int64).tobytes())
-        self.fails, self.root, self.unknown = fails, root, unknown
+    def __init__(self, states: np.ndarray, symbols: np.ndarray, weights: np.ndarray, targets: np.ndarray, fails: tuple[np.ndarray, np.ndarray, np.ndarray], root: int, unknown: float):
+        keys = self._keys(states, symbols)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.weights, self.targets = keys[order], np.asarray(weights, float)[order], np.asarray(targets, np.int64)[order]
+        self.root, self.unknown = root, unknown
+        at, weight, to = (np.asarray(x) for x in fails)
+        size = max([-1, root, *map(int, (at.max(initial=-1), self.targets.max(initial=-1)))]) + 2
+        self.fail_weight, self.fail_to = np.zeros(size), np.full(size, root)
+        self.fail_weight[at.astype(int) + 1], self.fail_to[at.astype(int) + 1] = weight, to
+
+    @staticmethod
+    def _keys(states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        return (np.asarray(states, np.int64) + 1) << 32 | np.asarray(symbols, np.int64)
+
+    def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and next states of many steps at once: failure arcs are followed until an arc takes the symbol."""
+        states, symbols = np.array(states, np.int64), np.asarray(symbols, np.int64)
+        total, after, left = np.zeros(len(states)), np.full(len(states), self.root), np.arange(len(states))
+        while len(left):
+            keys = self._keys(states[left], symbols[left])
+            at = np.searchsorted(self.keys, keys)
+            found = np.zeros(len(left), bool)
+            inside = at < len(self.keys)
+            found[inside] = self.keys[at[inside]] == keys[inside]
+            total[left[found]] += self.weights[at[found]]
+            after[left[found]] = self.targets[at[found]]
+            left = left[~found]
+            lost = states[left] == self.root
+            total[left[lost]] += self.unknown
+            left = left[~lost]
+            total[left] += self.fail_weight[states[left] + 1]
+            states[left] = self.fail_to[states[left] + 1]
+        return total, after
 
     def score(self, symbols: list[int], state: int) -> float:
-        """log10 probability of the symbols, in one traversal from ``state``."""
-        arcs, weights, targets, fails, root, total = self.arcs, self.weights, self.targets, self.fails, self.root, 0.0
+        """log10 probability of the symbols: one traversal from ``state``."""
+        total = 0.0
         for symbol in symbols:
-            arc = arcs.get((state + 1) << 32 | symbol)
-            while arc is None:
-                if state == root:
-                    break
-                weight, state = fails[state]
-                total += weight
-                arc = arcs.get((state + 1) << 32 | symbol)
-            if arc is None:
-                total += self.unknown
-            else:
-                total += weights[arc]
-                state = targets[arc]
+            weight, after = self.step(np.array([state]), np.array([symbol]))
+            total, state = total + float(weight[0]), int(after[0])
         return total
 
 
@@ -107,11 +124,22 @@ class Block:
         learn = np.concatenate([np.full(len(d), t) for d, t in zip(self.docs, training, strict=True)]) if self.docs else flat.astype(bool)
         self.words = np.bincount(flat[learn], minlength=n)
         follower = (self.hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
-        keys, inverse = np.unique(before * n + flat, return_inverse=True)
-        counts = np.bincount(inverse[learn], minlength=len(keys))
-        state, symbol = keys // n, keys % n
-        order = np.lexsort((follower[symbol], state))
-        self.state, self.symbol, self.pairs = state[order], symbol[order], counts[order]
+        #: One sort puts bigrams in the order in which shards get them: by word, then by the follower's hash.
+        if n < 1 << 24:
+            keys = before.astype(np.uint64) << np.uint64(40) | follower[flat]
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+        else:
+            order = np.lexsort((follower[flat], before))
+            a, b = before[order], follower[flat[order]]
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        head = order[first]
+        self.state, self.symbol = before[head], flat[head]
+        #: Which distinct bigram each token is, in reading order.
+        self.taken = np.empty(len(flat), np.int64)
+        self.taken[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(flat))))
+        self.pairs = np.add.reduceat(learn[order].astype(np.int64), first) if len(first) else np.empty(0, np.int64)
         self.follower = follower[self.symbol]
         self.fan = np.bincount(self.state, minlength=n)
 
@@ -229,10 +257,22 @@ def automaton(block: Block, counts: np.ndarray, after: np.ndarray, kinds: np.nda
     seen = np.flatnonzero(pairs > 0)
     s, w, words = block.state[seen], block.symbol[seen], np.flatnonzero(counts > 0)
     p = np.log10((pairs[seen] - d1) / after[s] + free[s] * p0[w])
-    fails = {x: (y, root) for x, y in zip(states.tolist(), np.log10(free[states]).tolist(), strict=True)}
     unknown = float(np.log10(root_probability(np.zeros(1), n, v, d0)[0]))
     ends = [np.concatenate(x) for x in ((s, np.full(len(words), root)), (w, words), (p, np.log10(p0[words])), (live[w], live[words]))]
-    return Backoff(*ends, fails, root, unknown)
+    return Backoff(*ends, (states, np.log10(free[states]), np.full(len(states), root)), root, unknown)
+
+
+def traverse(block: Block, machine: Backoff, after: np.ndarray) -> np.ndarray:
+    """Score of every document of the block.
+
+    A state is the word before, or the root if training never saw it. Each distinct step (state, word)
+    of the block is taken once, failure arcs included; a document's traversal from the start state then
+    adds up the steps that it makes from left to right.
+    """
+    states = np.where(after[block.state] > 0, block.state, machine.root)
+    weights, _ = machine.step(states, block.symbol)
+    starts = np.concatenate([[0], np.cumsum([len(d) for d in block.docs])[:-1]]).astype(int)
+    return np.add.reduceat(weights[block.taken], starts)
 
 
 class Scores:
@@ -282,7 +322,6 @@ class Scores:
             columns = list(zip(*[unpack_totals(x) for x in answers["packed"].to_pylist()], strict=True))
             counts, after, kinds, pairs = (np.concatenate(c) for c in columns)
             machine = automaton(b, counts, after, kinds, pairs, stats)
-            start = b.end if after[b.end] > 0 else machine.root
             n, v = int(stats[0]), int(stats[1])
             base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
             return pa.table({
@@ -290,7 +329,7 @@ class Scores:
                 "n_tokens": pa.array([len(d) for d in b.docs], pa.int64()), "n_known": pa.array([int((counts[d] > 0).sum()) for d in b.docs], pa.int64()),
                 "train_tokens": pa.array([n] * len(b.docs), pa.int64()),
                 "base_score": pa.array([float(base[d].sum()) for d in b.docs], pa.float64()),
-                "score": pa.array([machine.score(d.tolist(), start) for d in b.docs], pa.float64()),
+                "score": pa.array(traverse(b, machine, after), pa.float64()),
             })
 
         schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

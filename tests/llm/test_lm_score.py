@@ -72,7 +72,8 @@ def test_automaton_of_higher_order():
     """Failure arcs over two levels: states are histories of 0, 1 and 2 symbols."""
     arcs = {(0, 1): (-1.0, 1), (0, 2): (-2.0, 2), (1, 2): (-0.5, 12), (12, 1): (-0.25, 21)}
     fails = {1: (-0.1, 0), 2: (-0.2, 0), 12: (-0.3, 2), 21: (-0.4, 1)}
-    machine = Backoff(*zip(*((s, w, p, t) for (s, w), (p, t) in arcs.items())), fails, 0, -9.0)
+    ends = zip(*((s, w, p, t) for (s, w), (p, t) in arcs.items()))
+    machine = Backoff(*ends, tuple(zip(*((s, w, t) for s, (w, t) in fails.items()))), 0, -9.0)
     assert machine.score([1, 2, 1], 0) == pytest.approx(-1.0 - 0.5 - 0.25)
     assert machine.score([1, 2, 2], 0) == pytest.approx(-1.0 - 0.5 + (-0.3 - 0.2 - 2.0))
     assert machine.score([1, 7, 1], 0) == pytest.approx(-1.0 + (-0.1 - 9.0) - 1.0)
@@ -93,7 +94,11 @@ def test_model_sums_to_one(spark):
     import numpy as np
 
     machine = lm_score.automaton(block, *(np.concatenate(c) for c in zip(*totals)), stats)
-    for state in {*machine.fails, machine.root}:
+    counts = [np.concatenate(c) for c in zip(*totals)]
+    start = block.end
+    want = [machine.score(d.tolist(), start) for d in block.docs]
+    assert np.allclose(lm_score.traverse(block, machine, counts[1]), want)
+    for state in {*np.flatnonzero(machine.fail_weight) - 1, machine.root}:
         mass = sum(10 ** machine.score([w], state) for w in range(len(block.hashes)))
         unknown = 10 ** machine.score([10**9], state)
         assert mass + unknown == pytest.approx(1.0)
