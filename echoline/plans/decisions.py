@@ -71,7 +71,7 @@ def _scores() -> list[Column]:
 
 _SCORES = """round(tp / greatest(tp + fp, 1)::DOUBLE, 6) AS precision, round(tp / greatest(tp + fn, 1)::DOUBLE, 6) AS recall, round(CASE WHEN tp > 0 THEN 2 * (tp / greatest(tp + fp, 1)::DOUBLE) * (tp / greatest(tp + fn, 1)::DOUBLE) / (tp / greatest(tp + fp, 1)::DOUBLE + tp / greatest(tp + fn, 1)::DOUBLE) ELSE 0 END, 6) AS f1,
        round((tp + tn) / (tp + tn + fp + fn)::DOUBLE, 6) AS accuracy, round(tn / greatest(fp + tn, 1)::DOUBLE, 6) AS specificity"""
-_TALLY = "count_if(p >= thr AND truth) AS tp, count_if(p >= thr AND NOT truth) AS fp, count_if(p < thr AND truth) AS fn, count_if(p < thr AND NOT truth) AS tn"
+_TALLY = "count_if(p >= thr AND truth)::BIGINT AS tp, count_if(p >= thr AND NOT truth)::BIGINT AS fp, count_if(p < thr AND truth)::BIGINT AS fn, count_if(p < thr AND NOT truth)::BIGINT AS tn"
 
 
 @query(f"WITH {_FILES}, t AS (SELECT thr, {_TALLY} FROM fl, (SELECT 0.1::DOUBLE + 0.05::DOUBLE * k AS thr FROM (SELECT unnest(range(17)) AS k)) GROUP BY thr) SELECT round(thr, 2) AS threshold, tp, fp, fn, tn, {_SCORES} FROM t")
@@ -282,7 +282,7 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.agg(F.count("*").alias("pairs"), F.sum("n").alias("leaks"), r(F.avg("n")).alias("leaks_per_pair"), r(F.sum("took"), 4).alias("seconds"), r(rate).alias("pairs_per_s"))
 
 
-@query(f"{_L} SELECT count(*) AS n, count_if(conf > 0.8) AS high, count_if(conf > 0.6 AND conf <= 0.8) AS medium, count_if(conf <= 0.6) AS low, count_if(conf > 0.9) AS certain, count_if(conf > 0.85) AS urgent, count_if(snr < 10) AS noisy FROM l")
+@query(f"{_L} SELECT count(*) AS n, count_if(conf > 0.8)::BIGINT AS high, count_if(conf > 0.6 AND conf <= 0.8)::BIGINT AS medium, count_if(conf <= 0.6)::BIGINT AS low, count_if(conf > 0.9)::BIGINT AS certain, count_if(conf > 0.85)::BIGINT AS urgent, count_if(snr < 10)::BIGINT AS noisy FROM l")
 def exec_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three bands, and the counts that recommendations rest on."""
     c = F.col("conf")

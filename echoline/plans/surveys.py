@@ -131,7 +131,7 @@ def band_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, length(html)::BIGINT AS n FROM pages)
-SELECT host, count(*) AS n, round(avg(n), 4) AS mean, round(quantile_cont(n, 0.95), 4) AS p95, count_if(n BETWEEN 500 AND 3000) AS in_range FROM p GROUP BY host HAVING count(*) > 1
+SELECT host, count(*) AS n, round(avg(n), 4) AS mean, round(quantile_cont(n, 0.95), 4) AS p95, count_if(n BETWEEN 500 AND 3000)::BIGINT AS in_range FROM p GROUP BY host HAVING count(*) > 1
 """)
 def listing_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes by folder: mean, 95th percentile, and how many are in range."""
