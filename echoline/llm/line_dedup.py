@@ -52,15 +52,18 @@ def _sketch(site: Column) -> list[Column]:
 
 def estimate(longs: list[str]) -> Column:
     """HyperLogLog's estimate, with linear counting for small ones."""
-    total, empty = F.lit(0.0), F.lit(0)
-    for name in longs:
-        for r in range(_PER):
-            field = F.call_function("shiftrightunsigned", F.col(name), F.lit(r * _BITS)).bitwiseAND(F.lit((1 << _BITS) - 1))
-            value = F.when(field > 0, F.floor(F.log2(field.cast("double"))) + 1).otherwise(F.lit(0))
-            total = total + F.pow(F.lit(2.0), -value)
-            empty = empty + (field == 0).cast("int")
-    raw = F.lit(0.697 * _M * _M) / total
-    return F.when((raw <= 2.5 * _M) & (empty > 0), _M * F.log(F.lit(float(_M)) / empty)).otherwise(raw)
+    field = lambda x, r: F.call_function("shiftrightunsigned", x, (r * _BITS).cast("int")).bitwiseAND(F.lit((1 << _BITS) - 1))
+    ranks = F.flatten(F.transform(F.array(*longs), lambda x: F.transform(F.sequence(F.lit(0), F.lit(_PER - 1)), lambda r: F.length(F.bin(field(x, r))))))
+    #: ``bin(0)`` has one digit, as ``bin(1)`` has: an empty register is told by its field.
+    filled = F.size(F.filter(F.flatten(F.transform(F.array(*longs), lambda x: F.transform(F.sequence(F.lit(0), F.lit(_PER - 1)), lambda r: field(x, r)))), lambda v: v > 0))
+    sums = F.struct(F.aggregate(ranks, F.lit(0.0), lambda t, k: t + F.pow(F.lit(2.0), -k)).alias("all"), (_M - filled).alias("empty"))
+
+    def judged(z: Column) -> Column:
+        #: An empty register counts 2^0, not the 2^-1 of one digit.
+        raw = F.lit(0.697 * _M * _M) / (z["all"] + 0.5 * z["empty"])
+        return F.when((raw <= 2.5 * _M) & (z["empty"] > 0), _M * F.log(F.lit(float(_M)) / z["empty"])).otherwise(raw)
+
+    return F.transform(F.array(sums), judged)[0]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
