@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from echoline.llm.common import materialise, table
 from echoline.llm.decontaminate import decontaminate
 from echoline.llm.exact_dedup import exact_dedup
+from echoline.llm.jaccard import near_dedup
 from echoline.llm.langid import filter_language
 from echoline.llm.mixing import mix
-from echoline.llm.simhash import near_dedup
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """Of documents linked by similarity 0.8 or more over five-word shingles the smallest doc_id stays."""
     return near_dedup(docs)
 
 

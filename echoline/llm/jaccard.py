@@ -1,0 +1,161 @@
+"""Near copies by verified similarity: word shingles, MinHash bands, exact Jaccard.
+
+A document is the set of its five-word shingles (XXH64, seed 42). ``rows`` minima of the set
+make a band; documents that agree in one of the ``bands`` meet. Sets of similarity s agree
+somewhere with probability 1 - (1 - s^rows)^bands: 0.99997 at 0.8. Whoever meets is verified
+on the whole sets, so no link rests on a sketch. The first round compares each member of a
+bucket with its least member, which takes linear work and joins large groups of copies; what
+is not one component then has its other pairs compared too, long buckets in tiles.
+
+Cases: a null or wordless text is one empty shingle, so such texts are alike; fewer words
+than a shingle: the whole sequence is the only shingle; null and repeated ids as in ``simhash``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
+
+from echoline.llm.common import fresh, materialise
+from echoline.llm.components import connected_components
+
+
+def shingles(text: bytes | None, words: int = 5) -> np.ndarray:
+    """The distinct shingle hashes of a UTF-8 text, sorted."""
+    import xxhash
+
+    tokens = (text or b"").lower().split()
+    parts = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False)) if len(tokens) > words else [b" ".join(tokens)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(s, 42) for s in parts), np.uint64))
+
+
+def band_keys(hashes: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """A key for each band, the same for sets that agree in all of its minima."""
+    rng = np.random.default_rng(42)
+    flip, by = rng.integers(0, 2**64, (2, rows * bands, 1), np.uint64)
+    least = np.full(rows * bands, 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), 2048):
+        least = np.minimum(least, ((hashes[None, i : i + 2048] ^ flip) * (by | np.uint64(1))).min(axis=1))
+    key = np.arange(1, bands + 1, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def jaccard(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have at least this similarity."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def with_bands(docs: DataFrame, nid: str, column: str, words: int, rows: int, bands: int) -> DataFrame:
+    """``docs`` with a number for each row and its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            keys = np.array([band_keys(shingles(t, words), rows, bands) for t in texts], np.uint64).reshape(-1)
+            lists = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * bands, pa.array(keys.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], column])
+
+    (body,) = fresh(docs, "body")
+    source = docs.select("*", F.monotonically_increasing_id().alias(nid), F.col("text").cast("binary").alias(body))
+    return source.mapInArrow(run, source.drop(body).schema.add(column, ArrayType(LongType())))
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """nid, text (binary) to nid, set: the sorted hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["nid", "set"])
+
+    return texts.mapInArrow(run, "nid long, set binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of the pairs a, b those that are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            near = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in both]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    x, y = (sets.select(F.col("nid").alias(n), F.col("set").alias(f"set_{n}")) for n in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+
+
+def _other_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, least: float, tile: int) -> DataFrame | None:
+    """Edges between components that share a bucket, all pairs compared; None if there are no such buckets."""
+    m = members.filter("n > 2").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    m = materialise(m.select("key", "nid", "root"), "rooted")
+    mixed = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(nid))").alias("mark"), F.expr("bit_xor(xxhash64(nid, 7))").alias("mark2"))
+    #: Buckets of other bands with the same members hold the same pairs.
+    mixed = mixed.filter("lo <> hi").groupBy("n", "mark", "mark2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    mixed = materialise(mixed, "mixed")
+    if mixed.isEmpty():
+        return None
+    own = F.pmod(F.xxhash64("nid"), F.col("tiles")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    rows = m.join(mixed, "key").select("key", "nid", "root", own.alias("i"), other.alias("j"))
+    rows = rows.select("key", "nid", "root", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") > F.col("j")).alias("side"))
+
+    def run(group: pa.Table) -> pa.Table:
+        nid, label = group["nid"].to_numpy(), group["root"].to_numpy().copy()
+        side, cross = group["side"].to_numpy(), group["lo"][0].as_py() != group["hi"][0].as_py()
+        parts = [np.frombuffer(s, np.uint64) for s in group["set"].to_pylist()]
+        size = np.array([len(s) for s in parts])
+        codes = np.unique(np.concatenate(parts), return_inverse=True)[1]
+        owner = np.repeat(np.arange(len(parts)), size)[np.argsort(codes, kind="stable")]
+        starts, ends = np.append(0, np.cumsum(np.bincount(codes))), np.cumsum(size)
+        a, b = [], []
+        for i in range(len(parts)):
+            want = label != label[i]
+            want[: i + 1] = False
+            if cross:
+                want &= side != side[i]
+            if not want.any():
+                continue
+            mine = codes[ends[i] - size[i] : ends[i]]
+            both = np.bincount(np.concatenate([owner[starts[c] : starts[c + 1]] for c in mine]), minlength=len(parts))
+            for j in np.flatnonzero(want & (both >= least * (size + size[i] - both))):
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    a.append(nid[i])
+                    b.append(nid[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.join(sets, "nid").groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
+def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, rows: int = 4, bands: int = 20, tile: int = 512) -> DataFrame:
+    """One row of each group of documents that links of at least this similarity connect: the one with the smallest id. Columns as in ``docs``."""
+    nid, column = fresh(docs, "nid", "bands")
+    marked = materialise(with_bands(docs, nid, column, words, rows, bands), "marked")
+    keyed = marked.select(F.col(nid).alias("nid"), F.explode(column).alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("nid").alias("hub")).filter("n > 1")
+    members = materialise(keyed.join(buckets, "key").select("key", "nid", "n", "hub"), "members")
+    texts = marked.select(F.col(nid).alias("nid"), F.col("text").cast("binary").alias("text"))
+    sets = materialise(_sets(texts.join(members.select("nid").distinct(), "nid", "left_semi"), words), "sets")
+    pairs = members.filter("nid <> hub").select(F.col("nid").alias("a"), F.col("hub").alias("b")).distinct()
+    edges = materialise(_verified(pairs, sets, least), "verified")
+    found = materialise(connected_components(edges), "roots")
+    more = _other_pairs(members, found, sets, least, tile)
+    if more is not None:
+        found = materialise(connected_components(edges.union(more)), "roots")
+    ids = marked.select(F.col(nid).alias("node"), "doc_id")
+    rooted = materialise(found.join(ids, "node"), "classes")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
+    gone = rooted.join(first.select("root", F.col("first.node").alias("first")), "root").filter("node <> first").select(F.col("node").alias(nid))
+    return marked.join(gone, nid, "left_anti").select(*docs.columns)
