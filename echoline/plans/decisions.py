@@ -11,7 +11,7 @@ from echoline.functions import dsp
 from echoline.functions import physics as P
 from echoline.operators import relational as R
 from echoline.plans import network
-from echoline.plans.registry import query, table
+from echoline.plans.registry import SQL, query, table
 
 r = P.rounded
 
@@ -348,15 +348,33 @@ WITH t AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'x' || event_id ELS
 SELECT id, coalesce(try_cast(id AS BIGINT), 0) AS number, (row_number() OVER (ORDER BY coalesce(try_cast(id AS BIGINT), 0), id))::INTEGER AS place FROM t WHERE NOT (kind <> '3' OR (site IS NULL AND gain IS NULL))
 """)
 def catalogue_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue's filter, then its order by numeric id, others as 0. (The fixture is a fixed set of ids.)"""
+    """The catalogue's filter, then its order by numeric id, others as 0, over the SQL's ids below 500 only; ``catalogue_sort_all`` sorts the whole table."""
+    return _catalogue_order(table(spark, sf_dir, "events").filter("event_id < 500")).withColumn("place", F.col("place").cast("int"))
+
+
+def _catalogue_order(events: DataFrame, bins: int = 64) -> DataFrame:
+    """Ranks inside ranges of the sort key, whose counts come first, so no task orders the whole table. Cuts come from a sample; ranks don't depend on them."""
     i = F.col("event_id")
-    t = table(spark, sf_dir, "events").filter("event_id < 500").select(
+    t = events.select(
         F.when(i % 10 == 0, F.concat(F.lit("x"), i.cast("string"))).otherwise(i.cast("string")).alias("id"), F.when(i % 4 == 0, F.lit("1")).otherwise(F.lit("3")).alias("kind"),
         F.when(i % 5 != 0, F.lit("site")).alias("site"), F.when(i % 7 != 0, F.lit("9")).alias("gain"),
     )
     t = t.filter(~((F.col("kind") != "3") | (F.col("site").isNull() & F.col("gain").isNull())))
-    number = F.coalesce(F.col("id").try_cast("long"), F.lit(0))
-    return t.select("id", number.alias("number"), F.row_number().over(Window.orderBy(number, "id")).alias("place"))
+    t = t.select("id", F.coalesce(F.col("id").try_cast("long"), F.lit(0)).alias("number"))
+    #: Text that sorts as (number, id) does: the number with its sign bit turned, then the id.
+    t = t.withColumn("key", F.concat(F.lpad(F.hex(F.col("number").bitwiseXOR(F.lit(-(2**63)))), 16, "0"), "id"))
+    sample = sorted(x.key for x in t.select("key").orderBy(F.xxhash64("key")).limit(16 * bins).collect())
+    t = t.withColumn("bin", sum(((F.col("key") >= c).cast("int") for c in sample[16::16]), F.lit(0)))
+    up = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = t.groupBy("bin").agg(F.count("*").alias("c")).select("bin", F.coalesce(F.sum("c").over(up), F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("bin").orderBy("key"))
+    return t.join(F.broadcast(before), "bin").select("id", "number", place.alias("place"))
+
+
+@query(SQL["catalogue_sort"].replace(" WHERE event_id < 500", "").replace("::INTEGER AS place", "::BIGINT AS place"))
+def catalogue_sort_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``catalogue_sort`` over the whole table."""
+    return _catalogue_order(table(spark, sf_dir, "events"))
 
 
 @query("""
