@@ -38,6 +38,9 @@ REPAIRED_AS = {
 #: Recordings: samples a second, seconds, samples of a long and of a short window.
 SAMPLE_RATE, DURATION_S, LONG_WINDOW, SHORT_WINDOW = 4096, 10, 1024, 512
 
+#: Matched recordings taken of a sensor pair.
+MAX_BATCH_PAIRS = 1000
+
 #: Limits: seconds of delay and of clock drift, metres of tolerance and of sensor separation, dB, shares.
 MAX_DELAY_S, MAX_DRIFT_S, TOLERANCE_M, MIN_SEPARATION_M, MAX_SEPARATION_M = 5.0, 5.0, 5.0, 10.0, 1000.0
 MIN_SNR_DB, MIN_CONFIDENCE, MIN_PEAK_HEIGHT, MIN_SHARPNESS = 10.0, 0.7, 0.3, 1.5
