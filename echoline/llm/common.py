@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: A word of the contracts. ``bytes.split()`` cuts at exactly the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_scratch: list[str] = []
+#: Folders of the tables written so far, by the ``temporary`` blocks that they belong to.
+_scopes: list[list[str]] = [[]]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,31 +41,54 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; ``drop_scratch`` removes it."""
-    path = f"{shared_dir(spark).rstrip('/')}/echoline-{uuid.uuid4().hex[:12]}/{name}"
-    _scratch.append(path.rsplit("/", 1)[0])
-    return path
+def scratch(spark: SparkSession, name: str, outlives: bool = False) -> str:
+    """A new path in the shared folder, of the innermost ``temporary`` block or of the one around it."""
+    folder = f"{shared_dir(spark).rstrip('/')}/echoline-{uuid.uuid4().hex[:12]}"
+    _scopes[max(0, len(_scopes) - 1 - outlives)].append(folder)
+    return f"{folder}/{name}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
+def materialise(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    Inside a ``temporary`` block the table ends with the block, unless it ``outlives`` it.
+    """
+    path = scratch(df.sparkSession, name, outlives)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete the tables that ``materialise`` wrote; call it once results are stored elsewhere."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    done = 0
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+def _delete(spark: SparkSession, folders: list[str]) -> int:
+    conf, done = spark._jsc.hadoopConfiguration(), 0
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         done += bool(path.getFileSystem(conf).delete(path, True))
     return done
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialise`` writes inside are deleted at the end; nothing lazy that reads them may leave the block."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        _delete(spark, _scopes.pop())
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the tables that are left of all operators so far; call it once results are stored elsewhere."""
+    folders = [f for scope in _scopes for f in scope]
+    for scope in _scopes:
+        scope.clear()
+    return _delete(spark, folders)
+
+
+def small(table: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``table`` (materialised, a few numbers a row) marked for broadcasting if a count shows that it is short."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def n_words(text: Column) -> Column:
     """Number of words; null counts as the empty text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

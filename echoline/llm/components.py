@@ -26,20 +26,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``edges``: a, b long. Returns node, root: the least node of its component; nodes without edges are absent."""
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``edges``: a, b long. Returns node, root: the least node of its component; nodes without edges are absent.
+
+    The rounds end when the edges stay as they are; their number grows with the logarithm of the longest path.
+    """
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = materialise(now, "edges")
-    state = lambda e: tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
-    seen = state(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    state = lambda e: tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 7))")).first())
+    seen, found = None, state(now)
+    while found[0] and found != seen:
+        seen = found
         now = materialise(_small_star(_large_star(now)), "stars")
         found = state(now)
-        if found == seen:
-            break
-        seen = found
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b")).distinct())

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from echoline.llm import jaccard
+from echoline.llm import near_copies
 
 
 def plain(text, words=5):
@@ -54,13 +54,13 @@ def corpus():
     return list(zip(ids, all_, strict=True))
 
 
-@pytest.mark.parametrize("tile", [8, 512])
+@pytest.mark.parametrize("tile", [32, 512])
 def test_near_dedup_against_brute_force(spark, tile):
     rows = corpus()
     want, pairs = kept(rows)
     assert len(pairs) > 100
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = jaccard.near_dedup(docs, tile=tile)
+    out = near_copies.near_dedup(docs, tile=tile, sets=tile)
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == want
 
@@ -71,15 +71,15 @@ def test_pipeline_stage_finds_copies_of_similarity_080(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()) == kept(rows)[0]
 
 
-def test_other_pairs_of_a_bucket(spark):
-    """The least member of a bucket is like none of the others, which are like each other."""
+def test_links_beside_the_hub(spark):
+    """The least candidate is like none of the others, which are like each other."""
     base = [f"a{i}" for i in range(100)]
     rows = [(1, " ".join(base[:60] + [f"b{i}" for i in range(40)]))] + [(i, " ".join([*base, f"c{i}"])) for i in range(2, 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    assert sorted(r.doc_id for r in jaccard.near_dedup(docs, rows=1, bands=60).collect()) == [1, 2]
+    assert sorted(r.doc_id for r in near_copies.near_dedup(docs).collect()) == [1, 2]
 
 
 def test_empty_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (4, "A b  c d e f"), (3, "k l m n o"), (3, "k l m n o"), (5, None), (6, "")], "doc_id long, text string")
-    assert sorted(r.doc_id for r in jaccard.near_dedup(docs).collect()) == [3, 4, 5]
-    assert jaccard.near_dedup(docs.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in near_copies.near_dedup(docs).collect()) == [3, 4, 5]
+    assert near_copies.near_dedup(docs.limit(0)).count() == 0

@@ -4,7 +4,7 @@ import random
 import re
 
 import corpus_pipeline
-from echoline.llm import decontaminate, langid, queries, simhash
+from echoline.llm import decontaminate, langid, queries
 from echoline.llm.mixing import Mix
 
 WORDS = {"en": "the and with that shall them other this water pipe".split(), "de": "der und nicht über schön eine ich auch rohr wasser".split()}
@@ -41,7 +41,8 @@ def test_run_against_plain_stages(spark, tmp_path):
     for r in sorted(left):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1]), r)
     left = list(first.values())
-    prints = [simhash.fingerprint(r[1].encode()) for r in left]
+    words = [r[1].lower().split() for r in left]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
     root = list(range(len(left)))
 
     def find(i):
@@ -49,7 +50,7 @@ def test_run_against_plain_stages(spark, tmp_path):
 
     for i in range(len(left)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     left = [r for i, r in enumerate(left) if find(i) == i]

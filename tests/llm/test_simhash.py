@@ -89,12 +89,4 @@ def test_judged(spark):
     truth = brute([1, 2, 3, 4, 5, 6, 7], prints)
     assert {i: by[i].component_id for i in truth} == truth and by[None].component_id == 1
     assert all(by[i].fingerprint == f"{p:016x}" for i, p in zip(range(1, 8), prints))
-    kept = simhash.near_dedup(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(truth.values()))
-    assert simhash.judged(docs.limit(0)).count() == 0 and simhash.near_dedup(docs.limit(0)).count() == 0
-
-
-def test_repeated_and_null_ids(spark):
-    docs = spark.createDataFrame([(None, "a b c d e"), (None, "v w x y z"), (3, "k l m n o"), (3, "k l m n o")], "doc_id long, text string")
-    assert sorted(r.text for r in simhash.near_dedup(docs).collect()) == ["a b c d e", "k l m n o", "v w x y z"]
+    assert simhash.judged(docs.limit(0)).count() == 0
