@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from echoline.llm.common import materialise, table
 from echoline.llm.decontaminate import decontaminate
 from echoline.llm.exact_dedup import exact_dedup
-from echoline.llm.jaccard import near_dedup
 from echoline.llm.langid import filter_language
 from echoline.llm.mixing import mix
+from echoline.llm.near_copies import near_dedup
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
