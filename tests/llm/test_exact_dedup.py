@@ -54,15 +54,26 @@ def test_no_python_in_the_plan(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
-@pytest.mark.parametrize("filter_mb", [64, 0])
-def test_levels_merge(spark, filter_mb):
+@pytest.mark.parametrize(("memtable", "fan_in"), [(100_000, 4), (100, 2), (20, 4)])
+def test_levels_merge(spark, memtable, fan_in):
+    """One run, four levels of two, and three levels of four give the same entries."""
     rows, docs = fixture(spark)
-    sides = [docs.selectExpr("unhex(sha2(coalesce(text, ''), 256)) AS digest", "doc_id").filter(f"coalesce(doc_id, 0) % 2 = {k}") for k in (0, 1)]
-    index = LsmIndex(4, filter_mb)
-    for side in sides:
-        index.flush(side)
-    got = {bytes(r.digest): (r.first_id, r.n) for r in index.compact().collect()}
+    entries = docs.selectExpr("unhex(sha2(coalesce(text, ''), 256)) AS digest", "doc_id", "monotonically_increasing_id() AS nid")
+    index = LsmIndex(memtable, fan_in).flush(entries)
+    runs = index.runs
+    got = {bytes(r.digest): (r.first.doc_id, r.n) for r in index.compact().collect()}
     want = {}
     for i, t, _ in rows:
         want.setdefault(hashlib.sha256((t or "").encode()).digest(), []).append(i)
     assert got == {k: (min((i for i in v if i is not None), default=None), len(v)) for k, v in want.items()}
+    levels = 1
+    while runs > 1:
+        runs, levels = -(-runs // fan_in), levels + 1
+    assert len(index.levels) == levels
+
+
+def test_repeated_rows_keep_one(spark):
+    docs = spark.createDataFrame([(1, "a b", i) for i in range(50)] + [(2, "a  b", 0), (3, "c", 0), (3, "c", 1)], "doc_id long, text string, extra int")
+    dedup = ExactDedup(docs, memtable=10)
+    assert sum(r.kept for r in dedup.judged().collect()) == 2 == sum(r.kept for r in dedup.annotate().collect())
+    assert sorted(r.doc_id for r in dedup.kept().collect()) == [1, 3]
