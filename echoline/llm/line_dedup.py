@@ -7,7 +7,11 @@ a row a task. The register's value is its highest bit. Lines whose estimate is f
 the threshold stay, those far above go, and those between get an exact distinct count.
 Lines with fewer occurrences than the threshold need no sketch's word: they stay.
 
-Lines are compared trimmed, with white space as one blank; blank lines always stay.
+Lines are compared trimmed, with white space as one blank, by MD5; blank lines always stay. Texts are split
+twice: once for a slim table of digests and sites, from which sketches and exact counts are made, and
+once to take lines out, where the digests of boilerplate are broadcast in blocks of ``max_lines``; no
+text is shuffled. More blocks than one are gone through one after the other, with the
+rows written down between.
 
 Cases: a null text has no lines and stays null; a null site counts as one site; rows that
 repeat id and text lose the same lines; an empty table gives an empty result; extra
@@ -17,26 +21,27 @@ columns pass through ``clean``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from echoline.llm.common import SPACE, fresh, materialise
+from echoline.llm.common import SPACE, materialise, small, temporary
 
 #: Registers, registers to a long, bits of a register. Standard error 1.04 / sqrt(32).
 _M, _PER, _BITS = 32, 4, 16
 
 
 def line_key(line: Column) -> Column:
-    """A hash of the normalised line; null for a blank one."""
+    """The MD5 digest of the normalised line; null for a blank one."""
     #: Few lines need the pattern; looking for what it would change is much cheaper.
     odd = F.lit(False)
     for blank in ("  ", "\t", "\r", "\v", "\f"):
         odd = odd | F.contains(line, F.lit(blank))
     plain = F.trim(F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line))
-    return F.when(plain != "", F.xxhash64(plain))
+    return F.when(plain != "", F.unhex(F.md5(plain)))
 
 
 def _sketch(site: Column) -> list[Column]:
@@ -71,46 +76,54 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(docs: DataFrame, min_sites: int = 10) -> DataFrame:
-    """line (hash), sites of all lines on ``min_sites`` sites or more; ``sites`` is null where the sketch alone decided."""
+    """line (digest), sites of all lines on ``min_sites`` sites or more; ``sites`` is null where the sketch alone decided."""
     names = [f"h{i}" for i in range(_M // _PER)]
-    lines = _lines(docs)
-    sketched = lines.select("line", *[c.alias(n) for n, c in zip(names, _sketch(F.col("site")), strict=True)])
-    sketched = sketched.groupBy("line").agg(F.count("*").alias("n"), *[F.bit_or(n).alias(n) for n in names]).filter(F.col("n") >= min_sites)
-    spread = materialise(sketched.select("line", estimate(names).alias("spread")).filter(F.col("spread") >= min_sites / 3), "spread")
-    near = spread.filter(F.col("spread") <= 3 * min_sites).select("line")
-    exact = lines.join(near, "line", "left_semi").select("line", F.coalesce(F.col("site").cast("string"), F.lit("\x00")).alias("site")).distinct()
-    exact = exact.groupBy("line").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
-    far = spread.filter(F.col("spread") > 3 * min_sites).select("line", F.lit(None).cast("long").alias("sites"))
-    return materialise(exact.unionByName(far), "boilerplate")
-
-
-def cleaned(docs: DataFrame, min_sites: int = 10) -> DataFrame:
-    """Every row of ``docs`` with its text less boilerplate lines, and n_lines and n_removed."""
+    with temporary(docs.sparkSession):
+        lines = materialise(_lines(docs), "lines")
+        sketched = lines.select("line", *[c.alias(n) for n, c in zip(names, _sketch(F.col("site")), strict=True)])
+        sketched = sketched.groupBy("line").agg(F.count("*").alias("n"), *[F.bit_or(n).alias(n) for n in names]).filter(F.col("n") >= min_sites)
+        spread = materialise(sketched.select("line", estimate(names).alias("spread")).filter(F.col("spread") >= min_sites / 3), "spread")
+        near = materialise(spread.filter(F.col("spread") <= 3 * min_sites).select("line"), "near")
+        exact = lines.join(small(near), "line", "left_semi").select("line", F.coalesce(F.col("site").cast("string"), F.lit("\x00")).alias("site")).distinct()
+        exact = exact.groupBy("line").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
+        far = spread.filter(F.col("spread") > 3 * min_sites).select("line", F.lit(None).cast("long").alias("sites"))
+        return materialise(exact.unionByName(far), "boilerplate", outlives=True)
+
+
+def cleaned(docs: DataFrame, min_sites: int = 10, max_lines: int = 500_000) -> DataFrame:
+    """Every row of ``docs`` with its text less boilerplate lines, and n_lines and n_removed, which replace columns of those names."""
     dropped = boilerplate(docs.select("source", "text"), min_sites).select("line")
-    a, b, gone = fresh(docs, "key_a", "key_b", "gone")
-    keyed = docs.withColumn(a, F.xxhash64("doc_id", "text")).withColumn(b, F.xxhash64("text", "doc_id", F.lit(1)))
-    places = keyed.select(a, b, F.posexplode(F.split("text", "\n")).alias("place", "raw")).select(a, b, "place", line_key(F.col("raw")).alias("line"))
-    places = places.filter("line IS NOT NULL").join(dropped, "line").select(a, b, "place").groupBy(a, b).agg(F.collect_set("place").alias(gone))
-    joined = keyed.join(places, [a, b], "left").select(*docs.columns, gone)
+    blocks = max(1, -(-dropped.count() // max_lines))
     passed = [c for c in docs.columns if c.lower() not in {"n_lines", "n_removed"}]
-    joined = joined.select(*passed, gone)
-    where = [c.lower() for c in passed].index("text")
+    out = docs.select(*passed, F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    for i in range(blocks):
+        block = dropped.filter(F.pmod(F.xxhash64("line"), F.lit(blocks)) == i)
+        digests = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r[0]) for r in block.collect()))
+        out = _without(materialise(out, "left") if i else out, digests)
+    return out
+
+
+def _without(docs: DataFrame, digests: Broadcast) -> DataFrame:
+    """``docs`` without the lines of these digests; n_removed goes up by their number."""
+    where, last = [c.lower() for c in docs.columns].index("text"), len(docs.columns) - 1
+
+    def key(line: str) -> bytes:
+        return md5(b" ".join(line.encode().split())).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone = digests.value
         for batch in batches:
-            texts, total, removed = [], [], []
-            for text, out in zip(batch.column(where).to_pylist(), batch.column(len(passed)).to_pylist(), strict=True):
+            texts, removed = [], batch.column(last).to_pylist()
+            for i, text in enumerate(batch.column(where).to_pylist()):
                 lines = [] if text is None else text.split("\n")
-                out = set(out or ())
-                texts.append(text if not out else "\n".join(x for i, x in enumerate(lines) if i not in out))
-                total.append(len(lines))
-                removed.append(len(out))
-            columns = batch.columns[: len(passed)]
+                kept = [x for x in lines if key(x) not in gone]
+                texts.append(text if len(kept) == len(lines) else "\n".join(kept))
+                removed[i] += len(lines) - len(kept)
+            columns = [*batch.columns[:last], pa.array(removed, pa.int64())]
             columns[where] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*passed, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    schema = T.StructType([*joined.select(*passed).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return joined.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema) if digests.value else docs
 
 
 def judged(docs: DataFrame, min_sites: int = 10) -> DataFrame:
