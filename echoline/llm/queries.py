@@ -19,7 +19,7 @@ OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-       doc_id = min(doc_id) OVER g AS kept, text_sha256
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
@@ -47,19 +47,33 @@ f AS (
 t AS (
   SELECT l.source, l.source_size, coalesce(least(l.stop, f.level * l.weight), l.stop) AS target FROM l CROSS JOIN f),
 r AS (
-  SELECT d.*, t.source_size, t.target, floor(t.target / nullif(t.source_size, 0))::BIGINT AS whole
+  SELECT d.*, t.source_size, t.target, coalesce(floor(t.target / nullif(t.source_size, 0)), 0)::BIGINT AS whole,
+         t.target - coalesce(floor(t.target / nullif(t.source_size, 0)), 0) * t.source_size AS need,
+         CASE WHEN size > 0 THEN length(bin(size))::DOUBLE END AS worth
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+m AS (
+  SELECT source, worth, any_value(need) AS need, sum(size)::BIGINT AS mass FROM r WHERE size > 0 GROUP BY source, worth),
+v AS (
+  SELECT *, coalesce(sum(mass) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS above,
+         sum(mass * worth) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS below
+  FROM m WINDOW o AS (PARTITION BY source ORDER BY worth DESC)),
+g AS (
+  SELECT source, arg_max((need - above) / below, worth) AS rate, arg_max(need - above, worth) AS rest
+  FROM v WHERE (need - above) / below * worth < 1 GROUP BY source),
+p AS (
+  SELECT r.*, g.rest, g.rate * r.worth AS p FROM r LEFT JOIN g ON r.source IS NOT DISTINCT FROM g.source),
+q AS (
+  SELECT *, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM p),
 c AS (
-  SELECT *, target - whole * source_size AS need, row_number() OVER w AS place, sum(size) OVER w AS upto
-  FROM r WINDOW w AS (PARTITION BY source ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  SELECT doc_id, source, rest, rank, sum(size) OVER (PARTITION BY source ORDER BY rank) AS upto FROM q WHERE rank IS NOT NULL),
 b AS (
-  SELECT source, arg_min(place, abs(upto - need)) FILTER (abs(upto - need) < need) AS last
-  FROM c GROUP BY source)
-SELECT c.doc_id, c.size, c.source_size, c.target::DOUBLE AS target,
-       ((coalesce(c.whole, 0) + CASE WHEN c.need > 0 AND c.place <= b.last THEN 1 ELSE 0 END) * c.size)::BIGINT AS taken
-FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source
+  SELECT source, arg_min(rank, abs(upto - rest)) FILTER (abs(upto - rest) < rest) AS last FROM c GROUP BY source)
+SELECT q.doc_id, q.size, q.source_size, q.target::DOUBLE AS target,
+       ((q.whole + CASE WHEN q.p >= 1 OR q.rank <= b.last THEN 1 ELSE 0 END) * q.size)::BIGINT AS taken
+FROM q LEFT JOIN b ON q.source IS NOT DISTINCT FROM b.source
 """
 
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.judged(table(spark, sf_dir, "documents"))
 

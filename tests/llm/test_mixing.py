@@ -68,7 +68,41 @@ def test_unequal_probabilities(spark):
     assert 1.7 < odd / even < 2.3
 
 
+def test_size_decides_the_odds_and_certain_documents_are_paid_for(spark):
+    """p = min(1, rate * binary digits of the size); long documents are likelier, and the words still meet the target."""
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.choice([1, 3, 30, 500]), "s") for i in range(6000)] + [(9000 + i, "w " * 400, "t") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = Mix(docs, share=0.3).judged().collect()
+    by = {}
+    for r in out:
+        if r.doc_id < 9000:
+            by.setdefault(r.size, []).append(r.copies)
+    share = {n: sum(c) / len(c) for n, c in by.items()}
+    target = next(r.target for r in out if r.doc_id < 9000)
+    want = {}
+    mass = {n: n * len(c) for n, c in by.items()}
+    lo, hi = 0.0, 10.0
+    for _ in range(80):
+        rate = (lo + hi) / 2
+        want = {n: min(1.0, rate * n.bit_length()) for n in mass}
+        lo, hi = (rate, hi) if sum(mass[n] * want[n] for n in mass) < target else (lo, rate)
+    assert max(want.values()) <= 1 and all(abs(share[n] - want[n]) < 0.05 for n in want)
+    assert share[1] < share[3] < share[30] < share[500]
+    assert abs(sum(r.taken for r in out if r.doc_id < 9000) - target) <= 250
+
+
+def test_certain_documents_beside_drawn_ones(spark):
+    rows = [(i, "a b", "s", 1000.0 if i < 10 else 1.0) for i in range(1000)] + [(2000, "a " * 50, "t", None)] + [(3000 + i, "x", "u", float("nan")) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, worth double")
+    out = {r.doc_id: r for r in Mix(docs, share=0.3, utility="worth").judged().collect()}
+    assert all(out[i].copies == 1 for i in range(10))
+    drawn = sum(out[i].copies for i in range(10, 1000))
+    assert abs(2 * (drawn + 10) - out[0].target) <= 1
+
+
 def test_repeats_and_empty(spark):
-    docs = spark.createDataFrame([(1, "a b", "s")] * 5 + [(2, "a b", "s")], "doc_id long, text string, source string")
-    assert len(Mix(docs).judged().collect()) == 6
+    docs = spark.createDataFrame([(1, "a b", "s")] * 5 + [(2, "a b", "s"), (3, "a b", "s"), (4, "a b", "s")], "doc_id long, text string, source string")
+    out = Mix(docs, share=0.5).judged().collect()
+    assert len(out) == 8 and len({r.copies for r in out if r.doc_id == 1}) == 1
     assert Mix(docs.limit(0)).judged().count() == 0
