@@ -1,22 +1,26 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Model: bigrams with interpolated absolute discounting. The states are the words that
-precede, and the root. A state has an arc for every follower seen after it, weighted
-log10 P(w | state), and one failure arc to the root, weighted with the mass that the
-discount frees; the root has an arc for every known word and one for all unknown words.
-One left-to-right traversal of a document carries the state and adds up the weights.
-Discounts are n1 / (n1 + 2 n2) of the training corpus, for words and for bigrams.
+Model: trigrams with Dirichlet smoothing over two levels. With c the counts of the training
+documents, P(w | a b) = (c(a b w) + k P(w | b)) / (c(a b) + k), P(w | b) = (c(b w) + k P(w)) / (c(b) + k), and
+P(w) is the count of w less Ney's discount n1 / (n1 + 2 n2), whose mass goes to the one class of
+unknown words. The states of the automaton are the histories seen in training: two words, one
+word, none. A state has an arc for every word seen after its history, weighted log10 P, and one
+failure arc to the history without its first word, weighted log10 of k / (c + k), the mass that smoothing
+frees; the root has an arc for every known word and one for all unknown words. An arc leads to
+the longest history that is a state. One traversal of a document from left to right
+carries the state and adds up the weights.
 
 Scale: neither the model nor the corpus's counts fit anywhere whole. Documents are dealt
-by hash into blocks of about ``block_mb`` of text. A block sends each shard of the
-vocabulary the sorted hashes of its words and of their followers with its counts from
-training documents; a shard adds up the blocks' counts and sends back, in the same order,
-the totals of just the n-grams that the block asked for. The block then builds the part of
-the automaton that its documents can reach and traverses them. Shards take words by hash,
-a word's followers with it, and hold about ``shard_entries`` entries; a hot word costs its
-distinct followers, not its occurrences.
+by row into blocks of about ``block_mb`` of text. A block sorts the hashes of its distinct
+n-grams and sends every shard those of its range, with their counts from training
+documents; a shard adds up the blocks' counts and sends back, in the same order, the totals
+of just the n-grams that the block asked for. The block then builds the part of the automaton
+that its documents can reach and traverses them. N-grams are hashed whole, so a
+frequent word has no shard of its own: it is one entry a block, as any other n-gram is.
+Shards hold about ``shard_entries`` entries of all blocks.
 
-Hashes are 64 bits for words, 40 bits for a follower within its word.
+Words are told apart by 56 bits within their shard, longer n-grams by 40: of those one in a
+million is counted with another.
 
 Cases: a null text is empty and consists of the end token alone; a null id counts as the
 empty text for the folds (crc32 0: held out); repeated rows count and are scored each; an
@@ -26,18 +30,18 @@ a uniform choice among unknown words and the end.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoline.llm.common import held_out
+from echoline.llm.common import held_out, materialise
 
-#: A token that no word can equal, for the end of a document; it also is the state at a document's start.
+#: A token that no word can equal, for the end of a document; as a history it is a document's start.
 END = b" "
-_MASK40 = np.uint64((1 << 40) - 1)
+#: Bytes by which shards tell n-grams of each order apart.
+_WIDTH = (7, 5, 5)
+ORDER = len(_WIDTH)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -45,193 +49,126 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
-class Backoff:
-    """A weighted automaton with failure arcs, from n-gram weights of any order, in sorted arrays.
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in their order."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-    Arc i leads from ``states[i]`` by ``symbols[i]`` to ``targets[i]`` with ``weights[i]``; states are -1
-    and up, symbols under 2**32. ``fails``: states, weights and targets of their failure arcs; ``root``:
-    the state without a failure arc; ``unknown``: the root's weight for other symbols.
-    """
 
-    def __init__(self, states: np.ndarray, symbols: np.ndarray, weights: np.ndarray, targets: np.ndarray, fails: tuple[np.ndarray, np.ndarray, np.ndarray], root: int, unknown: float):
-        keys = self._keys(states, symbols)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.weights, self.targets = keys[order], np.asarray(weights, float)[order], np.asarray(targets, np.int64)[order]
-        self.root, self.unknown = root, unknown
-        at, weight, to = (np.asarray(x) for x in fails)
-        size = max([-1, root, *map(int, (at.max(initial=-1), self.targets.max(initial=-1)))]) + 2
-        self.fail_weight, self.fail_to = np.zeros(size), np.full(size, root)
-        self.fail_weight[at.astype(int) + 1], self.fail_to[at.astype(int) + 1] = weight, to
-
-    @staticmethod
-    def _keys(states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        return (np.asarray(states, np.int64) + 1) << 32 | np.asarray(symbols, np.int64)
-
-    def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weights and next states of many steps at once: failure arcs are followed until an arc takes the symbol."""
-        states, symbols = np.array(states, np.int64), np.asarray(symbols, np.int64)
-        total, after, left = np.zeros(len(states)), np.full(len(states), self.root), np.arange(len(states))
-        while len(left):
-            keys = self._keys(states[left], symbols[left])
-            at = np.searchsorted(self.keys, keys)
-            found = np.zeros(len(left), bool)
-            inside = at < len(self.keys)
-            found[inside] = self.keys[at[inside]] == keys[inside]
-            total[left[found]] += self.weights[at[found]]
-            after[left[found]] = self.targets[at[found]]
-            left = left[~found]
-            lost = states[left] == self.root
-            total[left[lost]] += self.unknown
-            left = left[~lost]
-            total[left] += self.fail_weight[states[left] + 1]
-            states[left] = self.fail_to[states[left] + 1]
-        return total, after
-
-    def score(self, symbols: list[int], state: int) -> float:
-        """log10 probability of the symbols: one traversal from ``state``."""
-        total = 0.0
-        for symbol in symbols:
-            weight, after = self.step(np.array([state]), np.array([symbol]))
-            total, state = total + float(weight[0]), int(after[0])
-        return total
+class Grams:
+    """The distinct n-grams of one order in a block, sorted by hash."""
+
+    def __init__(self, keys: np.ndarray, learn: np.ndarray):
+        order = np.argsort(keys)
+        found = keys[order]
+        new = np.ones(len(found), bool)
+        new[1:] = found[1:] != found[:-1]
+        starts = np.flatnonzero(new)
+        self.hashes = found[starts]
+        #: One occurrence of each, which n-gram each occurrence is, and the count in training documents.
+        self.one = order[starts]
+        self.which = np.empty(len(keys), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        self.counts = np.add.reduceat(learn[order].astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
 
 
 class Block:
-    """The n-grams of some documents: distinct words in the order of their hashes, and their followers."""
+    """The n-grams of some documents. ``at[k]`` has for each token the number of the k+1-gram that ends there."""
 
-    def __init__(self, texts: list[bytes | None], training: list[bool], shards: int):
+    def __init__(self, texts: list[bytes | None], training: list[bool]):
         import xxhash
 
         place: dict[bytes, int] = {END: 0}
         setdefault = place.setdefault
-        self.docs = []
-        for text in texts:
-            ids = [setdefault(w, len(place)) for w in tokens(text)]
-            self.docs.append(np.array(ids, np.int64))
+        ids = [np.array([setdefault(w, len(place)) for w in tokens(t)], np.int64) for t in texts]
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(w, 7) for w in place), np.uint64, len(place))
-        #: Words by shard, then hash: what a shard gets is a run of both arrays.
-        shard = hashes % np.uint64(shards)
-        order = np.lexsort((hashes, shard))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.docs = [rank[d] for d in self.docs]
-        self.end = int(rank[0])
-        self.hashes, self.shard = hashes[order], shard[order].astype(np.int64)
-        n = len(order)
-        flat = np.concatenate(self.docs) if self.docs else np.empty(0, np.int64)
-        before = np.concatenate([np.append(self.end, d[:-1]) for d in self.docs]) if self.docs else flat
-        learn = np.concatenate([np.full(len(d), t) for d, t in zip(self.docs, training, strict=True)]) if self.docs else flat.astype(bool)
-        self.words = np.bincount(flat[learn], minlength=n)
-        follower = (self.hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
-        #: One sort puts bigrams in the order in which shards get them: by word, then by the follower's hash.
-        if n < 1 << 24:
-            keys = before.astype(np.uint64) << np.uint64(40) | follower[flat]
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
-        else:
-            order = np.lexsort((follower[flat], before))
-            a, b = before[order], follower[flat[order]]
-            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        head = order[first]
-        self.state, self.symbol = before[head], flat[head]
-        #: Which distinct bigram each token is, in reading order.
-        self.taken = np.empty(len(flat), np.int64)
-        self.taken[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(flat))))
-        self.pairs = np.add.reduceat(learn[order].astype(np.int64), first) if len(first) else np.empty(0, np.int64)
-        self.follower = follower[self.symbol]
-        self.fan = np.bincount(self.state, minlength=n)
-
-    def requests(self) -> Iterator[tuple[int, bytes, int]]:
-        """(shard, packed entries, their number) for every shard that this block has words of."""
-        ends = np.cumsum(self.fan)
-        for s in np.unique(self.shard).tolist():
-            a, b = np.searchsorted(self.shard, [s, s + 1])
-            i, j = (ends[a - 1] if a else 0), ends[b - 1]
-            yield s, pack(self.hashes[a:b], self.words[a:b], self.fan[a:b], self.follower[i:j], self.pairs[i:j]), int(b - a + j - i)
-
-
-def _planes(values: np.ndarray, width: int = 8) -> bytes:
-    """Integers byte by byte: all lowest bytes, then the next, so that small values compress."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def _unplanes(data: memoryview, n: int, width: int = 8) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8, n * width).reshape(width, n).T
-    return out.view("<u8").reshape(-1)
-
-
-def _narrow(values: np.ndarray) -> bytes:
-    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + _planes(values, width)
-
-
-def pack(hashes: np.ndarray, words: np.ndarray, fan: np.ndarray, follower: np.ndarray, pairs: np.ndarray) -> bytes:
-    head = np.array([len(hashes), len(follower)], "<u8").tobytes()
-    return head + _planes(hashes) + _narrow(words) + _narrow(fan) + _planes(follower, 5) + _narrow(pairs)
-
-
-def _read(data: memoryview, at: int, n: int) -> tuple[np.ndarray, int]:
-    width = data[at]
-    return _unplanes(data[at + 1 :], n, width), at + 1 + n * width
-
-
-def unpack(data: bytes) -> tuple[np.ndarray, ...]:
-    view = memoryview(data)
-    n, m = np.frombuffer(view, "<u8", 2).astype(int).tolist()
-    hashes, at = _unplanes(view[16:], n), 16 + 8 * n
-    words, at = _read(view, at, n)
-    fan, at = _read(view, at, n)
-    follower, at = _unplanes(view[at:], m, 5), at + 5 * m
-    pairs, at = _read(view, at, m)
-    return hashes, words, fan, follower, pairs
-
-
-def pack_totals(*columns: np.ndarray) -> bytes:
-    return b"".join(np.array([len(c)], "<u8").tobytes() + _narrow(c) for c in columns)
-
-
-def unpack_totals(data: bytes) -> list[np.ndarray]:
-    view, at, out = memoryview(data), 0, []
-    while at < len(view):
-        n = int(np.frombuffer(view, "<u8", 1, at)[0])
-        values, at = _read(view, at + 8, n)
-        out.append(values.astype(np.int64))
+        self.sizes = np.array([len(d) for d in ids], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        flat = np.concatenate(ids) if ids else np.empty(0, np.int64)
+        learn = np.repeat(np.array(training, bool), self.sizes)
+        word = hashes[flat]
+        before = np.empty_like(word)
+        before[1:], before[self.starts] = word[:-1], hashes[0]
+        pair = _mixed(before, word)
+        #: A document's first token has no history of two.
+        third = np.ones(len(flat), bool)
+        third[self.starts] = False
+        last = np.flatnonzero(third)
+        triple = _mixed(pair[last - 1], word[last] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        self.grams = [Grams(word, learn), Grams(pair, learn), Grams(triple, learn[last])]
+        words, pairs, triples = self.grams
+        third_at = np.zeros(len(flat), np.int64)
+        third_at[last] = triples.which
+        self.at = [words.which, pairs.which, third_at]
+        #: The start of a document, as a word; it is there, as every document has an end.
+        self.start = int(np.searchsorted(words.hashes, hashes[0]))
+        #: Of each pair its two words; of each triple the pair that it begins with and the one that it ends with.
+        first_word = np.searchsorted(words.hashes, before[pairs.one])
+        self.pair = first_word, words.which[pairs.one]
+        ends = last[triples.one] if len(last) else last
+        self.triple = pairs.which[ends - 1], pairs.which[ends]
+
+    def requests(self, bits: int) -> list[tuple[int, bytes]]:
+        """(shard, packed n-grams) for each of the ``2 ** bits`` shards that this block has n-grams of."""
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.empty(0, np.uint64)
+        cuts = [np.concatenate([[0], np.searchsorted(g.hashes, edges), [len(g.hashes)]]) for g in self.grams]
+        short = [(g.hashes << np.uint64(bits)) >> np.uint64(64 - 8 * w) for g, w in zip(self.grams, _WIDTH, strict=True)]
+        out = []
+        for s in range(1 << bits):
+            runs = [(c[s], c[s + 1]) for c in cuts]
+            if any(i < j for i, j in runs):
+                parts = []
+                for g, x, (i, j) in zip(self.grams, short, runs, strict=True):
+                    parts += [np.diff(x[i:j], prepend=np.uint64(0)), g.counts[i:j]]
+                out.append((s, pack(*parts)))
+        return out
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of non-negative integers: all lowest bytes, then the next, compressed."""
+    import zstandard
+
+    parts = [bytes([len(columns)])]
+    for c in columns:
+        width = (int(c.max()).bit_length() + 7) // 8 if len(c) else 0
+        planes = np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+        parts += [len(c).to_bytes(8, "little"), bytes([width]), planes.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    view = memoryview(zstandard.ZstdDecompressor().decompress(data))
+    at, out = 1, []
+    for _ in range(view[0]):
+        n, width = int.from_bytes(view[at : at + 8], "little"), view[at + 8]
+        values = np.zeros((n, 8), np.uint8)
+        values[:, :width] = np.frombuffer(view, np.uint8, n * width, at + 9).reshape(width, n).T
+        out.append(values.view("<u8").reshape(-1))
+        at += 9 + n * width
     return out
 
 
 def add_up(requests: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Totals for each request of a shard, and the shard's part of the corpus statistics.
-
-    The totals: count of each word, of each bigram, and of each word the tokens and the distinct
-    words after it. Statistics: tokens, distinct words, words seen once, twice; bigrams seen once, twice.
-    """
+    """Totals for each request of a shard, and its part of the corpus's figures: tokens, distinct words, words seen once and twice."""
     parts = [unpack(r) for r in requests]
-    hashes = np.concatenate([p[0] for p in parts])
-    known, at = np.unique(hashes, return_inverse=True)
-    counts = np.zeros(len(known), np.int64)
-    np.add.at(counts, at, np.concatenate([p[1] for p in parts]).astype(np.int64))
-    state = np.repeat(at, np.concatenate([p[2] for p in parts]).astype(np.int64))
-    follower = np.concatenate([p[3] for p in parts])
-    order = np.lexsort((follower, state))
-    s, f = state[order], follower[order]
-    new = np.concatenate([[True], (s[1:] != s[:-1]) | (f[1:] != f[:-1])]) if len(s) else np.empty(0, bool)
-    group = np.cumsum(new) - 1
-    pairs = np.bincount(group, np.concatenate([p[4] for p in parts])[order].astype(float), minlength=int(new.sum())).astype(np.int64)
-    heads = s[new]
-    after = np.bincount(heads, pairs.astype(float), minlength=len(known)).astype(np.int64)
-    kinds = np.bincount(heads[pairs > 0], minlength=len(known))
-    mine = np.empty(len(s), np.int64)
-    mine[order] = pairs[group]
-    out, i, j = [], 0, 0
-    for p in parts:
-        w = at[i : i + len(p[0])]
-        out.append(pack_totals(counts[w], after[w], kinds[w], mine[j : j + len(p[3])]))
-        i, j = i + len(p[0]), j + len(p[3])
-    stats = np.array([counts.sum(), (counts > 0).sum(), (counts == 1).sum(), (counts == 2).sum(), (pairs == 1).sum(), (pairs == 2).sum()], np.int64)
-    return out, stats
+    answers: list[list[np.ndarray]] = [[] for _ in parts]
+    figures = np.zeros(4, np.int64)
+    for k in range(ORDER):
+        keys = np.concatenate([np.cumsum(p[2 * k], dtype=np.uint64) for p in parts])
+        counts = np.concatenate([p[2 * k + 1] for p in parts])
+        known, which = np.unique(keys, return_inverse=True)
+        totals = np.bincount(which, counts.astype(float), minlength=len(known)).astype(np.int64)
+        if not k:
+            figures[:] = totals.sum(), (totals > 0).sum(), (totals == 1).sum(), (totals == 2).sum()
+        mine, i = totals[which], 0
+        for answer, p in zip(answers, parts, strict=True):
+            answer.append(mine[i : i + len(p[2 * k])])
+            i += len(p[2 * k])
+    return [pack(*a) for a in answers], figures
 
 
 def discount(once: int, twice: int) -> float:
@@ -239,101 +176,131 @@ def discount(once: int, twice: int) -> float:
     return min(0.999, max(0.001, once / (once + 2 * twice) if once else 0.001))
 
 
-def root_probability(count: np.ndarray, n: int, v: int, d: float) -> np.ndarray:
-    """Words less the discount; what it frees goes to the one class of unknown words."""
-    return np.where(count > 0, (count - d) / max(n, 1), d * v / n if n else 0.5)
-
+class Automaton:
+    """The part of the model that a block's documents can reach, its steps compiled.
 
-def automaton(block: Block, counts: np.ndarray, after: np.ndarray, kinds: np.ndarray, pairs: np.ndarray, stats: np.ndarray) -> Backoff:
-    """The part of the model that the block's documents can reach."""
-    n, v = int(stats[0]), int(stats[1])
-    d0, d1 = discount(int(stats[2]), int(stats[3])), discount(int(stats[4]), int(stats[5]))
-    p0 = root_probability(counts, n, v, d0)
-    root = -1
-    states = np.flatnonzero(after > 0)
-    free = np.zeros(len(counts))
-    free[states] = d1 * kinds[states] / after[states]
-    live = np.where(after > 0, np.arange(len(counts)), root)
-    seen = np.flatnonzero(pairs > 0)
-    s, w, words = block.state[seen], block.symbol[seen], np.flatnonzero(counts > 0)
-    p = np.log10((pairs[seen] - d1) / after[s] + free[s] * p0[w])
-    unknown = float(np.log10(root_probability(np.zeros(1), n, v, d0)[0]))
-    ends = [np.concatenate(x) for x in ((s, np.full(len(words), root)), (w, words), (p, np.log10(p0[words])), (live[w], live[words]))]
-    return Backoff(*ends, (states, np.log10(free[states]), np.full(len(states), root)), root, unknown)
-
-
-def traverse(block: Block, machine: Backoff, after: np.ndarray) -> np.ndarray:
-    """Score of every document of the block.
-
-    A state is the word before, or the root if training never saw it. Each distinct step (state, word)
-    of the block is taken once, failure arcs included; a document's traversal from the start state then
-    adds up the steps that it makes from left to right.
+    States: a pair's number + ``pairs``, a word's number, or the root, -1. A step takes a token from a state of
+    k words: row ``base[k]`` + the number of the k+1-gram that the token ends. ``weight`` and ``target`` of a row
+    are those of its arc or, where training has no such n-gram, of the failure arc and the row that it leads to.
     """
-    states = np.where(after[block.state] > 0, block.state, machine.root)
-    weights, _ = machine.step(states, block.symbol)
-    starts = np.concatenate([[0], np.cumsum([len(d) for d in block.docs])[:-1]]).astype(int)
-    return np.add.reduceat(weights[block.taken], starts)
+
+    def __init__(self, block: Block, counts: list[np.ndarray], figures: np.ndarray, strength: float):
+        words, pairs, triples = counts
+        n, v = int(figures[0]), int(figures[1])
+        d = discount(int(figures[2]), int(figures[3]))
+        self.pairs = len(words)
+        p1 = np.where(words > 0, (words - d) / max(n, 1), d * v / n if n else 0.5)
+        known = words > 0
+        self.unknown = np.log10(d * v / n if n else 0.5)
+        w1, t1 = np.log10(p1), np.where(known, np.arange(len(words)), -1)
+
+        first, second = block.pair
+        fail = np.log10(strength / (words + strength))
+        p2 = (pairs + strength * p1[second]) / (words[first] + strength)
+        w2 = np.where(pairs > 0, np.log10(p2), fail[first] + w1[second])
+        t2 = np.where(pairs > 0, self.pairs + np.arange(len(pairs)), t1[second])
+
+        history, suffix = block.triple
+        fail = np.log10(strength / (pairs + strength))
+        p3 = (triples + strength * p2[suffix]) / (pairs[history] + strength)
+        w3 = np.where(triples > 0, np.log10(p3), fail[history] + w2[suffix])
+        self.weight = np.concatenate([w1, w2, w3])
+        #: A triple that training has ends with a pair that it has.
+        self.target = np.concatenate([t1, t2, t2[suffix]])
+        self.base = np.array([0, len(words), len(words) + len(pairs)])
+        self.start = int(t1[block.start])
+
+    def rows(self, states: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
+        """The rows of steps from ``states``; ``at``: numbers of the 1-, 2- and 3-grams that the tokens end."""
+        return np.where(states >= self.pairs, self.base[2] + at[2], np.where(states >= 0, self.base[1] + at[1], at[0]))
+
+    def traverse(self, block: Block, few: int = 16) -> np.ndarray:
+        """log10 probability of every document: a traversal that carries the state, for all documents at once, the longest alone at the end."""
+        order = np.argsort(-block.sizes, kind="stable")
+        sizes, starts = block.sizes[order], block.starts[order]
+        states, totals = np.full(len(order), self.start), np.zeros(len(order))
+        live, t = len(order), 0
+        while live and (live > few or sizes[0] - t < 64):
+            pos = starts[:live] + t
+            row = self.rows(states[:live], [a[pos] for a in block.at])
+            totals[:live] += self.weight[row]
+            states[:live] = self.target[row]
+            t += 1
+            while live and sizes[live - 1] <= t:
+                live -= 1
+        for i in range(live):
+            totals[i] += self._alone(block, int(starts[i]) + t, int(starts[i] + sizes[i]), int(states[i]))
+        out = np.empty(len(order))
+        out[order] = totals
+        return out
+
+    def _alone(self, block: Block, begin: int, end: int, state: int, step: int = 1 << 16) -> float:
+        total, base, pairs = 0.0, self.base.tolist(), self.pairs
+        for low in range(begin, end, step):
+            high = min(low + step, end)
+            each = [zip((self.weight[b + a[low:high]]).tolist(), (self.target[b + a[low:high]]).tolist(), strict=True) for b, a in zip(base, block.at, strict=True)]
+            for one, two, three in zip(*each, strict=True):
+                weight, state = three if state >= pairs else two if state >= 0 else one
+                total += weight
+        return total
 
 
 class Scores:
-    """Scores every row of ``docs``; see the module for the model and the plan."""
+    """Scores every row of ``docs``; see the module for the model and the plan. ``strength``: k of the smoothing."""
 
-    def __init__(self, docs: DataFrame, block_mb: float = 3.0, shard_entries: int = 600_000):
-        self.docs = docs
+    def __init__(self, docs: DataFrame, block_mb: float = 3.0, shard_entries: int = 1_500_000, strength: float = 4.0):
+        self.docs, self.strength = docs, strength
         size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
         n_bytes = (size[0] or 0) + size[1]
         self.blocks = max(1, round(n_bytes / (block_mb * 1e6)))
-        #: About every sixth byte begins an entry that is new to its block.
-        self.shards = max(1, round(n_bytes / 6 / shard_entries))
+        #: About two entries for every five bytes, of the three orders.
+        self.bits = max(0, round(np.log2(max(1, 0.4 * n_bytes / shard_entries))))
 
     def scored(self) -> DataFrame:
-        shards = self.shards
+        bits, strength = self.bits, self.strength
         out = held_out(F.col("doc_id"), 10, 0)
-        block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.blocks)).cast("int")
-        dealt = self.docs.select(block.alias("block"), "doc_id", out.alias("held_out"), F.col("text").cast("binary").alias("text")).repartition(
-            self._tasks(self.blocks), "block"
-        )
+        block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(self.blocks)).cast("int")
+        dealt = self.docs.select(block.alias("block"), "doc_id", out.alias("held_out"), F.col("text").cast("binary").alias("text"))
+        #: The second use must see the same blocks, and rows of a block in an order of their own.
+        dealt = dealt.repartition(self._tasks(self.blocks), "block")
 
         def of(table: pa.Table) -> Block:
-            #: What a block asks for, and in which order, doesn't depend on the order of its rows.
-            return Block(table["text"].to_pylist(), [not h for h in table["held_out"].to_pylist()], shards)
+            return Block(table["text"].to_pylist(), [not h for h in table["held_out"].to_pylist()])
 
         def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            rows = list(of(table).requests())
-            return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32()), "packed": pa.array([r[1] for r in rows], pa.large_binary()).cast(pa.binary())})
+            rows = of(table).requests(bits)
+            return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
 
         def total(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            totals, stats = add_up(table["packed"].to_pylist())
+            totals, figures = add_up(table["packed"].to_pylist())
             return pa.table({
                 "block": pa.concat_arrays([*table["block"].chunks, pa.array([-1], pa.int32())]), "shard": pa.array([key[0].as_py()] * (len(totals) + 1), pa.int32()),
-                "packed": pa.array([*totals, pack_totals(stats)], pa.binary()),
+                "packed": pa.array([*totals, pack(figures)], pa.binary()),
             })
 
         asked = dealt.groupBy("block").applyInArrow(ask, "shard int, block int, packed binary")
-        totals = asked.repartition(self._tasks(shards), "shard").groupBy("shard").applyInArrow(total, "block int, shard int, packed binary")
-        #: Six numbers for the whole corpus, one row.
-        names = ["n", "v", "w1", "w2", "b1", "b2"]
-        stats = totals.filter("block = -1").mapInArrow(_stats_rows, "n long, v long, w1 long, w2 long, b1 long, b2 long").agg(*[F.sum(c).alias(c) for c in names])
-
-        def score(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
-            table, b = docs, of(docs)
-            answers = answers.sort_by("shard")
-            stats = np.array([answers[c][0].as_py() for c in names], np.int64)
-            columns = list(zip(*[unpack_totals(x) for x in answers["packed"].to_pylist()], strict=True))
-            counts, after, kinds, pairs = (np.concatenate(c) for c in columns)
-            machine = automaton(b, counts, after, kinds, pairs, stats)
-            n, v = int(stats[0]), int(stats[1])
-            base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
+        totals = asked.repartition(self._tasks(1 << bits), "shard").groupBy("shard").applyInArrow(total, "block int, shard int, packed binary")
+        totals = materialise(totals, "totals")
+        figures = _figures(totals.filter("block = -1"))
+
+        def score(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
+            b = of(table)
+            columns = zip(*[unpack(x) for x in answers.sort_by("shard")["packed"].to_pylist()], strict=True)
+            counts = [np.concatenate(c).astype(np.int64) for c in columns]
+            machine = Automaton(b, counts, figures, strength)
+            n, v = int(figures[0]), int(figures[1])
+            word = b.at[0]
+            base = np.log10((counts[0] + 0.1) / (n + 0.1 * (v + 1)))
             return pa.table({
-                "doc_id": table["doc_id"], "held_out": table["held_out"],
-                "n_tokens": pa.array([len(d) for d in b.docs], pa.int64()), "n_known": pa.array([int((counts[d] > 0).sum()) for d in b.docs], pa.int64()),
-                "train_tokens": pa.array([n] * len(b.docs), pa.int64()),
-                "base_score": pa.array([float(base[d].sum()) for d in b.docs], pa.float64()),
-                "score": pa.array(traverse(b, machine, after), pa.float64()),
+                "doc_id": table["doc_id"], "held_out": table["held_out"], "n_tokens": pa.array(b.sizes, pa.int64()),
+                "n_known": pa.array(np.add.reduceat((counts[0] > 0)[word].astype(np.int64), b.starts), pa.int64()),
+                "train_tokens": pa.array(np.full(len(b.sizes), n), pa.int64()),
+                "base_score": pa.array(np.add.reduceat(base[word], b.starts), pa.float64()),
+                "score": pa.array(machine.traverse(b), pa.float64()),
             })
 
         schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        answers = totals.filter("block >= 0").crossJoin(F.broadcast(stats)).repartition(self._tasks(self.blocks), "block")
+        answers = totals.filter("block >= 0").repartition(self._tasks(self.blocks), "block")
         return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
 
     def _tasks(self, groups: int) -> int:
@@ -341,12 +308,18 @@ class Scores:
         return max(int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups // 2)
 
 
-def _stats_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["n", "v", "w1", "w2", "b1", "b2"]
-    for batch in batches:
-        rows = [unpack_totals(x)[0] for x in batch.column(batch.schema.get_field_index("packed")).to_pylist()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.array(rows).T], names=names)
+def _figures(parts: DataFrame) -> np.ndarray:
+    """Four numbers for the whole corpus, added up in Spark."""
+    names = ["n", "v", "once", "twice"]
+
+    def run(batches):
+        for batch in batches:
+            rows = [unpack(x)[0].astype(np.int64) for x in batch.column(0).to_pylist()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.array(rows).T], names=names)
+
+    row = parts.select("packed").mapInArrow(run, ", ".join(f"{c} long" for c in names)).agg(*[F.sum(c).alias(c) for c in names]).first()
+    return np.array([x or 0 for x in row], np.int64)
 
 
 def score(docs: DataFrame, **options) -> DataFrame:

@@ -3,52 +3,59 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from echoline.llm import lm_score
-from echoline.llm.lm_score import Backoff
+
+K = 4.0
 
 
 def words(text):
     return (text or "").encode().lower().split() + [b" "]
 
 
-def brute(rows):
-    """The contract's base and the model, by dictionaries over all training tokens."""
-    out_of = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
-    c, pairs = Counter(), Counter()
-    for i, t in rows:
-        if not out_of(i):
+class Plain:
+    """The model by dictionaries over all training tokens."""
+
+    def __init__(self, texts):
+        self.c, self.pairs, self.triples = Counter(), Counter(), Counter()
+        for t in texts:
             w = words(t)
-            c.update(w)
-            pairs.update(zip([b" ", *w], w))
-    n, v = sum(c.values()), len(c)
-    after, kinds = Counter(), Counter()
-    for (a, _), k in pairs.items():
-        after[a] += k
-        kinds[a] += 1
-    ney = lambda x: lm_score.discount(sum(k == 1 for k in x.values()), sum(k == 2 for k in x.values()))
-    d0, d1 = ney(c), ney(pairs)
-
-    def root(w):
-        return (c[w] - d0) / n if c[w] else (d0 * v / n if n else 0.5)
-
-    def p(a, w):
-        if not after[a]:
-            return root(w)
-        return (max(pairs[a, w] - d1, 0) + d1 * kinds[a] * root(w)) / after[a]
+            self.c.update(w)
+            self.pairs.update(zip([b" ", *w], w))
+            self.triples.update(zip([b" ", *w], w, w[1:]))
+        self.n, self.v = sum(self.c.values()), len(self.c)
+        self.d = lm_score.discount(sum(k == 1 for k in self.c.values()), sum(k == 2 for k in self.c.values()))
+
+    def p(self, history, w):
+        if not history:
+            return (self.c[w] - self.d) / self.n if self.c[w] else (self.d * self.v / self.n if self.n else 0.5)
+        seen, with_w = (self.c, self.pairs) if len(history) == 1 else (self.pairs, self.triples)
+        n = seen[history[0] if len(history) == 1 else history]
+        return (with_w[(*history, w)] + K * self.p(history[1:], w)) / (n + K)
+
+    def score(self, text):
+        """Always from the longest history; an unseen one leaves all to the shorter."""
+        total, history = 0.0, (b" ",)
+        for w in words(text):
+            total += math.log10(self.p(history, w))
+            history = (*history, w)[-2:]
+        return total
+
 
+def brute(rows):
+    out_of = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    m = Plain([t for i, t in rows if not out_of(i)])
     result = []
     for i, t in rows:
         w = words(t)
-        base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-        #: The state after an unknown word is the root.
-        score = sum(math.log10(p(a, x)) for a, x in zip([b" ", *w], w))
-        result.append((-1 if i is None else i, out_of(i), len(w), sum(c[x] > 0 for x in w), n, round(base, 6), round(score, 6)))
+        base = sum(math.log10((m.c[x] + 0.1) / (m.n + 0.1 * (m.v + 1))) for x in w)
+        result.append((-1 if i is None else i, out_of(i), len(w), sum(m.c[x] > 0 for x in w), m.n, round(base, 6), round(m.score(t), 6)))
     return sorted(result)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block_mb": 0.002, "shard_entries": 200}])
+@pytest.mark.parametrize("sizes", [{}, {"block_mb": 0.002, "shard_entries": 400}])
 def test_against_brute_force(spark, sizes):
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(300)] + ["Straße", "É", "x\xa0y"]
@@ -68,37 +75,57 @@ def test_empty(spark):
     assert row.held_out and row.train_tokens == 0 and row.n_known == 0 and row.score == pytest.approx(3 * math.log10(0.5))
 
 
-def test_automaton_of_higher_order():
-    """Failure arcs over two levels: states are histories of 0, 1 and 2 symbols."""
-    arcs = {(0, 1): (-1.0, 1), (0, 2): (-2.0, 2), (1, 2): (-0.5, 12), (12, 1): (-0.25, 21)}
-    fails = {1: (-0.1, 0), 2: (-0.2, 0), 12: (-0.3, 2), 21: (-0.4, 1)}
-    ends = zip(*((s, w, p, t) for (s, w), (p, t) in arcs.items()))
-    machine = Backoff(*ends, tuple(zip(*((s, w, t) for s, (w, t) in fails.items()))), 0, -9.0)
-    assert machine.score([1, 2, 1], 0) == pytest.approx(-1.0 - 0.5 - 0.25)
-    assert machine.score([1, 2, 2], 0) == pytest.approx(-1.0 - 0.5 + (-0.3 - 0.2 - 2.0))
-    assert machine.score([1, 7, 1], 0) == pytest.approx(-1.0 + (-0.1 - 9.0) - 1.0)
-
-
-def test_model_sums_to_one(spark):
-    rng = random.Random(6)
-    texts = [b" ".join(rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(9)) for _ in range(20)]
-    block = lm_score.Block(texts, [True] * 20, 3)
+def model(texts, training, bits=3):
+    """A block with the automaton that its own shards' answers make."""
+    block = lm_score.Block(texts, training)
     requests = defaultdict(list)
-    for s, packed, _ in block.requests():
+    for s, packed in block.requests(bits):
         requests[s].append(packed)
-    totals, stats = [], 0
+    parts, figures = [], 0
     for s in sorted(requests):
         out, part = lm_score.add_up(requests[s])
-        totals.append(lm_score.unpack_totals(out[0]))
-        stats = stats + part
-    import numpy as np
-
-    machine = lm_score.automaton(block, *(np.concatenate(c) for c in zip(*totals)), stats)
-    counts = [np.concatenate(c) for c in zip(*totals)]
-    start = block.end
-    want = [machine.score(d.tolist(), start) for d in block.docs]
-    assert np.allclose(lm_score.traverse(block, machine, counts[1]), want)
-    for state in {*np.flatnonzero(machine.fail_weight) - 1, machine.root}:
-        mass = sum(10 ** machine.score([w], state) for w in range(len(block.hashes)))
-        unknown = 10 ** machine.score([10**9], state)
-        assert mass + unknown == pytest.approx(1.0)
+        parts.append(lm_score.unpack(out[0]))
+        figures = figures + part
+    counts = [np.concatenate(c).astype(np.int64) for c in zip(*parts)]
+    return block, lm_score.Automaton(block, counts, figures, K)
+
+
+def test_traversal_carries_the_state():
+    """Seen and unseen histories of both lengths: states go up to pairs and fall back to the root."""
+    texts = [b"a b c d", b"a b c e", b"x y", b"", b"a b c d a b c", b"c c c c q a b"]
+    block, machine = model(texts, [True, True, True, True, False, False])
+    plain = Plain([t.decode() for t in texts[:4]])
+    for few in (0, 100):
+        assert np.allclose(machine.traverse(block, few), [plain.score(t.decode()) for t in texts])
+    state, path = machine.start, []
+    for pos in range(block.starts[5], block.starts[5] + block.sizes[5]):
+        row = int(machine.rows(np.array([state]), [a[[pos]] for a in block.at])[0])
+        state = int(machine.target[row])
+        path.append("root" if state < 0 else "pair" if state >= machine.pairs else "word")
+    #: "start c" is unseen and ends at the word; "c c" is unseen; "q" is unknown; "a" after the root is a word, then "a b" a pair.
+    assert path == ["word", "word", "word", "word", "root", "word", "pair", "word"]
+
+
+def test_long_documents_alone_and_together():
+    rng = random.Random(4)
+    texts = [b" ".join(rng.choice([b"a", b"b", b"c"]) for _ in range(n)) for n in (3000, 1, 70, 3000, 200, 90000)]
+    block, machine = model(texts, [True] * 6)
+    assert np.allclose(machine.traverse(block, 0), machine.traverse(block, 100))
+
+
+def test_model_sums_to_one():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcd") for _ in range(9)) for _ in range(20)]
+    m = Plain(texts)
+    known = [*m.c, b"never seen"]
+    for history in [(), *[(w,) for w in m.c], *[h for h in m.pairs if h[1] != b" "]]:
+        assert sum(m.p(history, w) for w in known) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("bits", [0, 1, 6])
+def test_requests_and_answers(bits):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(30))).encode() for _ in range(40)]
+    block, machine = model(texts, [i % 3 > 0 for i in range(40)], bits)
+    plain = Plain([t.decode() for i, t in enumerate(texts) if i % 3])
+    assert np.allclose(machine.traverse(block), [plain.score(t.decode()) for t in texts])
