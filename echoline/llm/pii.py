@@ -1,33 +1,42 @@
 """Personal data: base rules as seeds, and bootstrapped contextual extraction.
 
-The base rules find emails, IP addresses, cards and phones. Their matches are the seeds:
-the words around them induce lexical patterns (the two words before; the word before with
-the word after). Candidates are tokens with a digit or an @ that no base match touches. Patterns and
-the values that they enclose form a graph, which Spark scores in rounds: a pattern is as
-good for a kind as the share of its distinct values that are believed to be of it; a value
-is believed as much as its good patterns let it. Patterns with a share of
-``min_confidence`` over ``min_support`` distinct values mark the candidates inside them.
+The base rules find emails, IP addresses, cards and phones. Their matches are seeds, and so are
+tokens that look like secrets (``is_secret``). The words around a seed induce lexical patterns:
+the word before with the marks between it and the value, such as ``token = "``; the two words
+before; the word before with the word after. Candidates are tokens with a digit or an @ that no
+base match touches; neighbouring groups of digits are one candidate. Patterns and the values
+that they enclose form a graph, which Spark scores in rounds. A pattern's confidence for a
+kind is the share of its distinct values that are believed to be of it. A pattern with
+``min_confidence`` over ``min_support`` values is accepted, and all its values are believed from then
+on, which may lift other patterns. What is believed only grows, so the rounds end at a
+fixed point. Accepted patterns mark the candidates that they enclose; each gets the kind of
+its most confident pattern, of equal ones the kind that is listed first.
 
 A pass over the texts leaves a slim table; the graph is grouped and joined by Spark, with
-distinct values and partial sums first, so frequent contexts cost a row a task.
+distinct values first and partial sums, so frequent contexts cost a row a task. Values and
+patterns are told apart by 64 bits.
 
 Cases: a null text is empty; offsets are code points, ends exclusive; repeated rows are
 judged each; repeated values count once in the graph; an empty table gives an empty
-result. Context words are cut at ``_CONTEXT`` characters from a match.
+result; a value at a text's edge has the patterns for which there are words.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echoline.llm.common import materialise
+from echoline.llm.common import materialise, small, temporary
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,7 +45,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
-_CONTEXT = 96
+_SECRET = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
+_SPACED = re.compile(r"[^\x20\x09-\x0D]+")
+#: What a group of digits may hold beside them, and how the next group begins.
+_GROUP = frozenset("0123456789().-/")
 _EDGE = ".,:;!?\"'()[]{}<>|*#$%&=~`"
 _STOP = " \t\n\v\f\r\"'<>()[]{}=,;|"
 
@@ -88,24 +100,68 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _words(text: str) -> list[str]:
-    return [w for x in text.lower().split() if (w := x.strip(_EDGE))]
+def is_secret(value: str) -> bool:
+    """A token of 20 characters and more that mixes letters and digits as keys and digests do."""
+    if not _SECRET.fullmatch(value):
+        return False
+    n, digits = len(value), sum(c.isdigit() for c in value)
+    return digits >= 3 and digits < n and -sum(k / n * log2(k / n) for k in Counter(value).values()) >= 3.0
+
+
+class Words:
+    """The words of a text with their places: tokens between blanks, lower-cased, without marks at their edges."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for m in _SPACED.finditer(text):
+            a, b = m.start(), m.end()
+            token = m[0]
+            a += len(token) - len(token.lstrip(_EDGE))
+            b -= len(token) - len(token.rstrip(_EDGE))
+            if a < b:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def before(self, at: int) -> tuple[str, int, str]:
+        """The last word that begins before ``at``, where it ends, and the word before that; empty if there is none."""
+        i = bisect_right(self.starts, at - 1) - 1
+        if i < 0:
+            return "", 0, ""
+        start, end = self.starts[i], min(self.ends[i], at)
+        #: A word that runs up to the value, as in key="value", counts without the marks between.
+        while end > start and self.text[end - 1] in _EDGE:
+            end -= 1
+        return self.text[start:end].lower(), end, self.text[self.starts[i - 1] : self.ends[i - 1]].lower() if i else ""
+
+    def after(self, at: int) -> str:
+        """The first word that ends after ``at``, from there on."""
+        i = bisect_right(self.ends, at)
+        if i == len(self.starts):
+            return ""
+        start = max(self.starts[i], at)
+        while start < self.ends[i] and self.text[start] in _EDGE:
+            start += 1
+        return self.text[start : self.ends[i]].lower()
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
+def contexts(words: Words, start: int, end: int) -> list[str]:
     """The lexical patterns around a span."""
-    before = _words(text[max(0, start - _CONTEXT) : start].replace("=", " "))[-2:]
-    after = _words(text[end : end + _CONTEXT])[:1]
+    last, at, second = words.before(start)
+    following = words.after(end)
     out = []
-    if len(before) == 2:
-        out.append("L\x1f" + "\x1f".join(before))
-    if before and after:
-        out.append(f"B\x1f{before[-1]}\x1f{after[0]}")
+    if last:
+        out.append(f"D\x1f{last}\x1f{' '.join((words.text[at:start] + chr(1)).split())[:-1]}")
+        if second:
+            out.append(f"L\x1f{second}\x1f{last}")
+        if following:
+            out.append(f"B\x1f{last}\x1f{following}")
     return out
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]], least: int = 5) -> list[tuple[int, int]]:
-    """Tokens of ``least`` characters and more with a digit or an @ that touch no span."""
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Tokens with a digit or an @ that touch no span, without marks at their edges; groups of digits one blank apart are one."""
     out, done, i = [], 0, 0
     merged = sorted((s, e) for s, _, e in spans)
     for m in _MARK.finditer(text):
@@ -118,6 +174,14 @@ def candidates(text: str, spans: list[tuple[int, int, int]], least: int = 5) ->
         end = at + 1
         while end < len(text) and text[end] not in _STOP:
             end += 1
+        if _GROUP.issuperset(text[start:end]):
+            while end + 1 < len(text) and text[end] == " " and (text[end + 1].isdecimal() or text[end + 1] == "("):
+                more = end + 1
+                while more < len(text) and text[more] in _GROUP:
+                    more += 1
+                if more < len(text) and text[more] not in _STOP:
+                    break
+                end = more
         done = end
         while start < end and text[start] in _EDGE:
             start += 1
@@ -125,98 +189,91 @@ def candidates(text: str, spans: list[tuple[int, int, int]], least: int = 5) ->
             end -= 1
         while i < len(merged) and merged[i][1] <= start:
             i += 1
-        if end - start >= least and not any(s < end and e > start for s, e in merged[i : i + 4]):
+        if end > start and not (i < len(merged) and merged[i][0] < end):
             out.append((start, end))
     return out
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base counts and spans, and the occurrences of values in patterns; kind -1 for candidates."""
+    """row, doc_id, base spans, and the occurrences of values in patterns; kind -1 for candidates that are no seeds."""
     import xxhash
 
-    item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("value", pa.int64()), ("pattern", pa.int64())])
+    item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("based", pa.bool_()), ("value", pa.int64()), ("pattern", pa.int64())])
     at = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
 
     def key(text: str) -> int:
         x = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 11)
         return x - (1 << 64) if x >> 63 else x
 
+    def occurrences(text: str, spans: list[tuple[int, int, int]]) -> Iterator[dict]:
+        if not spans and _MARK.search(text) is None:
+            return
+        words = Words(text)
+        seen = [(s, e, k, True) for s, k, e in spans]
+        seen += [(s, e, KINDS.index("secret") if is_secret(text[s:e]) else -1, False) for s, e in candidates(text, spans)]
+        for s, e, k, based in seen:
+            value = key(text[s:e].lower())
+            for p in contexts(words, s, e):
+                yield {"start": s, "end": e, "kind": k, "based": based, "value": value, "pattern": key(p)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, found = [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                spans = base_spans(text)
+            for text in batch.column(2).to_pylist():
+                spans = base_spans(text or "")
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                seen = [(s, e, k) for s, k, e in spans]
-                if "@" in text or _MARK.search(text):
-                    seen += [(s, e, -1) for s, e in candidates(text, spans)]
-                found.append([
-                    {"start": s, "end": e, "kind": k, "value": key(text[s:e].lower()), "pattern": key(p)}
-                    for s, e, k in seen for p in contexts(text, s, e)
-                ])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, at), pa.array(found, pa.list_(item))], names=["doc_id", "base", "found"])
-
-    schema = "doc_id long, base array<struct<start:long,kind:int,end:long>>, found array<struct<start:long,end:long,kind:int,value:long,pattern:long>>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-
-
-def _good(share: Column, n: Column, floor: float, support: int) -> Column:
-    return F.when((share >= floor) & (n >= support), share).otherwise(F.lit(0.0))
-
-
-def accepted_patterns(occurrences: DataFrame, rounds: int = 3, min_confidence: float = 0.85, min_support: int = 5) -> DataFrame:
-    """``occurrences``: pattern, value, kind. Returns pattern, kind, confidence of the patterns that may mark candidates."""
-    k = range(len(KINDS))
-    links = materialise(occurrences.select("pattern", "value").distinct(), "links")
-    #: A value that a base rule matched anywhere is of its kind; of several the first as listed.
-    seeds = materialise(occurrences.filter("kind >= 0").groupBy("value").agg(F.min("kind").alias("seed")), "seeds")
-    known = [F.when(F.col("seed") == i, F.lit(1.0)).otherwise(F.lit(0.0)).alias(f"b{i}") for i in k]
-    beliefs = seeds.select("value", *known)
-    for turn in range(rounds):
-        patterns = (
-            links.join(beliefs, "value", "left").groupBy("pattern")
-            .agg(F.count("*").alias("n"), *[F.sum(F.coalesce(f"b{i}", F.lit(0.0))).alias(f"s{i}") for i in k])
-            .select("pattern", "n", *[(F.col(f"s{i}") / (F.col("n") + 1)).alias(f"c{i}") for i in k])
-            .filter((F.col("n") >= min_support) & (F.greatest(*[f"c{i}" for i in k]) >= 0.5))
-        )
-        patterns = materialise(patterns, "patterns")
-        if turn + 1 == rounds:
-            break
-        good = [F.sum(F.log1p(-F.least(_good(F.col(f"c{i}"), F.col("n"), 0.5, min_support), F.lit(0.999)))).alias(f"l{i}") for i in k]
-        learnt = links.join(patterns, "pattern").groupBy("value").agg(*good).join(seeds, "value", "left_anti")
-        beliefs = materialise(seeds.select("value", *known).unionByName(learnt.select("value", *[(1 - F.exp(f"l{i}")).alias(f"b{i}") for i in k])), "beliefs")
-    best = F.greatest(*[F.struct(F.col(f"c{i}").alias("c"), F.lit(-i).alias("k")) for i in k])
-    out = patterns.select("pattern", best.alias("best")).filter(F.col("best.c") >= min_confidence)
-    return materialise(out.select("pattern", (-F.col("best.k")).alias("kind"), F.col("best.c").alias("confidence")), "accepted")
-
-
-def _joined(spans: str) -> Column:
-    names = F.array(*map(F.lit, KINDS))
-    one = lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))
+                found.append(list(occurrences(text or "", spans)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(base, at), pa.array(found, pa.list_(item))], names=["row", "doc_id", "base", "found"])
+
+    schema = "row long, doc_id long, base array<struct<start:long,kind:int,end:long>>, found array<struct<start:long,end:long,kind:int,based:boolean,value:long,pattern:long>>"
+    return docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def accepted_patterns(occurrences: DataFrame, min_confidence: float = 0.85, min_support: int = 5) -> DataFrame:
+    """``occurrences``: pattern, value, kind (-1: no seed). Returns pattern, kind, confidence of the accepted patterns."""
+    with temporary(occurrences.sparkSession):
+        #: A value that is a seed anywhere is of its kind; of several the first as listed.
+        seeds = materialise(occurrences.filter("kind >= 0").groupBy("value").agg(F.min("kind").alias("kind")), "seeds")
+        pairs = materialise(occurrences.select("pattern", "value").distinct(), "pairs")
+        size = pairs.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= min_support)
+        links = materialise(pairs.join(size, "pattern"), "links")
+        believed, accepted, before = seeds, None, None
+        while True:
+            scored = links.join(believed, "value").groupBy("pattern", "kind").agg((F.count("*") / F.first("n")).alias("confidence"))
+            accepted = materialise(scored.filter(F.col("confidence") >= min_confidence), "patterns")
+            learnt = links.join(small(accepted), "pattern").select("value", "kind").distinct()
+            believed = materialise(learnt.unionByName(seeds).distinct(), "believed")
+            now = believed.count()
+            if now == before:
+                break
+            before = now
+        return materialise(accepted, "accepted", outlives=True)
+
+
+def _joined(spans: Column, names: tuple[str, ...] = KINDS) -> Column:
+    known = F.array(*map(F.lit, names))
+    one = lambda x: F.concat_ws(":", F.element_at(known, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))
     return F.array_join(F.transform(F.array_sort(spans), one), ",")
 
 
 def find(docs: DataFrame, **options) -> DataFrame:
-    """Every row of ``docs``: doc_id, base and all spans as arrays of (start, kind, end)."""
-    scanned = materialise(_scan(docs), "scan").withColumn("row", F.monotonically_increasing_id())
-    #: The row number is written down before anything joins on it.
-    scanned = materialise(scanned, "rows")
+    """Every row of ``docs``: doc_id, base spans, and those that patterns add, as arrays of (start, kind, end)."""
+    scanned = materialise(_scan(docs), "scan")
     seen = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*")
     accepted = accepted_patterns(seen.select("pattern", "value", "kind"), **options)
     new = (
-        seen.filter("kind < 0").drop("kind").join(accepted, "pattern")
+        seen.filter("NOT based").select("row", "start", "end", "pattern").join(small(accepted), "pattern")
         .groupBy("row", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("best"))
         .groupBy("row").agg(F.collect_list(F.struct("start", (-F.col("best.k")).alias("kind"), "end")).alias("new"))
     )
-    out = scanned.drop("found").join(new, "row", "left")
-    return out.select("doc_id", "base", F.concat("base", F.coalesce("new", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))).alias("spans"))
+    out = scanned.select("row", "doc_id", "base").join(materialise(new, "new"), "row", "left")
+    return out.select("doc_id", "base", F.coalesce("new", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")).alias("new"))
 
 
 def judged(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_found (those that patterns add) of every row."""
     count = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
     return find(docs, **options).select(
-        "doc_id", *[count(i).alias(f"n_{name}") for i, name in enumerate(KINDS)],
-        F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"),
+        "doc_id", *[count(i).alias(f"n_{name}") for i, name in enumerate(BASE)],
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "new")).alias("spans"), F.size("new").cast("long").alias("n_found"),
     )

@@ -45,6 +45,100 @@ def test_long_texts_stay_linear(text):
     pii.candidates(text, [])
 
 
+def plain_words(text):
+    """(word, start, end) of every token, by hand."""
+    out = []
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+        w = m[0].strip(pii._EDGE)
+        if w:
+            a = m.start() + m[0].index(w)
+            out.append((w.lower(), a, a + len(w)))
+    return out
+
+
+@pytest.mark.parametrize("text", ['say token = "12ab" now', 'a key="77x" b', "x 5", "5 y", "mail to: (a@b) , ok", "* * id # 7 * z", "t:9"])
+def test_contexts_against_plain_words(text):
+    ((s, e),) = pii.candidates(text, [])
+    words = plain_words(text)
+    out = pii.contexts(pii.Words(text), s, e)
+    before = [w for w in words if w[2] <= s]
+    after = [w for w in words if w[1] >= e]
+    if before and after and text[s - 1] in " (":
+        assert f"B\x1f{before[-1][0]}\x1f{after[0][0]}" in out
+    if text.startswith("say"):
+        assert out == ['D\x1ftoken\x1f= "', "L\x1fsay\x1ftoken", "B\x1ftoken\x1fnow"]
+    if text.startswith("a key"):
+        assert out[0] == 'D\x1fkey\x1f="' and "B\x1fkey\x1fb" in out
+    if text == "x 5":
+        assert out == ["D\x1fx\x1f"]
+    if text == "5 y":
+        assert out == []
+
+
+def test_groups_of_digits_are_one_candidate():
+    found = lambda t: [t[s:e] for s, e in pii.candidates(t, pii.base_spans(t))]
+    assert found("call 555 123 4567 now") == ["555 123 4567"]
+    assert found("card 4795 5229 3596 1274, ok 12") == ["4795 5229 3596 1274", "12"]
+    assert found("in 1990 12a b") == ["1990", "12a"] and found("(0551) 77-12 x") == ["0551", "77-12"]
+
+
+def rounds(occurrences, confidence, support):
+    """The fixed point by sets."""
+    kind = {}
+    for _, value, k in occurrences:
+        if k >= 0:
+            kind[value] = min(k, kind.get(value, k))
+    values = {}
+    for pattern, value, _ in occurrences:
+        values.setdefault(pattern, set()).add(value)
+    believed = {(v, k) for v, k in kind.items()}
+    while True:
+        accepted = {}
+        for p, vs in values.items():
+            for k in range(len(pii.KINDS)):
+                share = sum((v, k) in believed for v in vs) / len(vs)
+                if len(vs) >= support and share >= confidence:
+                    accepted[p, k] = share
+        more = believed | {(v, k) for p, k in accepted for v in values[p]}
+        if more == believed:
+            return accepted
+        believed = more
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rounds_against_sets(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for p in range(60):
+        lean = rng.randrange(6) - 1
+        for _ in range(rng.choice([3, 8, 20])):
+            v = rng.randrange(40) + 40 * max(lean, 0)
+            rows.append((p, v, lean if rng.random() < 0.5 and v % 3 else -1))
+    got = pii.accepted_patterns(spark.createDataFrame(rows, "pattern long, value long, kind int"), 0.7, 4).collect()
+    want = rounds(rows, 0.7, 4)
+    assert {(r.pattern, r.kind): round(r.confidence, 9) for r in got} == {k: round(c, 9) for k, c in want.items()}
+    first = {(p, k) for p, k in want}
+    assert first  # some are accepted, and some only in a later round
+    once = {p for p, v, k in rows if k >= 0}
+    assert len(once) > 5
+
+
+def test_five_values_of_one_kind_are_enough(spark):
+    rows = [(7, v, 0) for v in range(5)] + [(8, v, 0) for v in range(4)]
+    got = pii.accepted_patterns(spark.createDataFrame(rows, "pattern long, value long, kind int")).collect()
+    assert [(r.pattern, r.kind, r.confidence) for r in got] == [(7, 0, 1.0)]
+
+
+def test_secrets_and_what_their_pattern_adds(spark):
+    rows = [(i, f'it says token = "{hashlib.sha1(str(i).encode()).hexdigest()}" and {i} words') for i in range(20)]
+    rows += [(50, 'another token = "short-1" here'), (51, "license, version 2.0. follows"), (52, f"no {'a1' * 20} pattern")]
+    out = {r.doc_id: r for r in pii.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(20):
+        start = rows[i][1].index('"') + 1
+        assert out[i].spans == f"secret:{start}:{start + 40}" and out[i].n_found == 1 and out[i].n_email == 0
+    assert out[50].spans == "secret:17:24" and out[51].spans == "" and out[52].spans == ""
+
+
 def test_discovery_and_cases(spark):
     seeds = [(i, f"Plain words here. Please mail to user{i}@mail.example now. Call +1 (434) 555-{1000 + i} ok") for i in range(12)]
     rows = seeds + [
