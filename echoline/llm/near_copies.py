@@ -74,7 +74,7 @@ class NearCopies:
     ``sets``: sets that are compared in one task.
     """
 
-    def __init__(self, docs: DataFrame, words: int = 5, least: float = 0.8, recall: float = 0.995, wide: int = 2, per_bucket: int = 128, tile: int = 4096, sets: int = 512, batch: int = 2048):
+    def __init__(self, docs: DataFrame, words: int = 5, least: float = 0.8, recall: float = 0.995, wide: int = 2, per_bucket: int = 128, tile: int = 4096, sets: int = 512, batch: int = 256):
         self.docs, self.words, self.least, self.recall = docs, words, least, recall
         self.wide, self.per_bucket, self.tile, self.sets, self.batch = wide, per_bucket, tile, sets, batch
         self.prints = [f"f{i}" for i in range(wide)]

@@ -78,6 +78,12 @@ def with_fingerprints(docs: DataFrame, words: int = 4, column: str = "fp", text_
     return source.mapInArrow(run, docs.select(*kept).schema.add(column, "long"))
 
 
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save addition of three bits in every lane: sum and carry."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
+
+
 class Planes:
     """Bit planes of a block of fingerprints: plane b holds bit b of all of them, 64 lanes to a word.
 
@@ -109,28 +115,36 @@ class Planes:
         ``first``: for each query the lane from which on it is compared.
         """
         rows = np.arange(len(queries))
-        left = np.ascontiguousarray(queries, np.uint64).reshape(len(queries), -1)
+        bits = np.unpackbits(np.ascontiguousarray(queries, np.uint64).reshape(len(rows), -1).view(np.uint8), axis=1, bitorder="little")
+        flips = bits.T.astype(np.uint64) * _ALL
         lanes = np.broadcast_to(self.lanes, (len(rows), self.words)) if first is None else self._from(first)
-        #: Carry-save counters: digit k of all lanes' distances. The last one saturates.
-        width = max(1, int(radius + 1).bit_length())
-        digits = [np.zeros((len(rows), self.words), np.uint64) for _ in range(width)]
         over = ~lanes
-        for b in range(self.bits):
-            flip = np.where((left[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1), _ALL, np.uint64(0))
-            carry = self.planes[b][None, :] ^ flip[:, None]
-            for digit in digits:
-                carry_on = digit & carry
-                digit ^= carry
-                carry = carry_on
+        #: Carry-save counters: digit k of all lanes' distances. What leaves the last one saturates.
+        width = max(3, int(radius + 1).bit_length())
+        digits = [np.zeros((len(rows), self.words), np.uint64) for _ in range(width)]
+        for b in range(0, self.bits, 8):
+            d = self.planes[b : b + 8, None, :] ^ flips[b : b + 8, :, None]
+            fours = []
+            for i in (0, 4):
+                digits[0], low = _add(digits[0], d[i], d[i + 1])
+                digits[0], high = _add(digits[0], d[i + 2], d[i + 3])
+                digits[1], four = _add(digits[1], low, high)
+                fours.append(four)
+            digits[2], carry = _add(digits[2], *fours)
+            for k in range(3, width):
+                digits[k], carry = digits[k] ^ carry, digits[k] & carry
             over |= carry
-            if b % 8 == 7 and b > radius:
+            if b + 8 > radius:
                 alive = (~(over | self._exceeds(digits, radius))).any(axis=1)
-                if not alive.all():
-                    rows, left, over = rows[alive], left[alive], over[alive]
-                    digits = [d[alive] for d in digits]
-                    if not len(rows):
+                left = np.count_nonzero(alive)
+                if 2 * left <= len(rows):
+                    rows, over, flips = rows[alive], over[alive], flips[:, alive]
+                    digits = [x[alive] for x in digits]
+                    if not left:
                         break
-        return rows, ~(over | self._exceeds(digits, radius))
+        near = ~(over | self._exceeds(digits, radius))
+        some = near.any(axis=1)
+        return rows[some], near[some]
 
     @staticmethod
     def _exceeds(digits: list[np.ndarray], radius: int) -> np.ndarray:
