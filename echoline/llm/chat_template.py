@@ -5,7 +5,7 @@ closures: expressions take the scope, statements yield pieces ``(text, counts fo
 Pieces come out as turns go in, with one turn of look-ahead for ``loop.last``, so a
 conversation of any length is rendered with bounded memory.
 
-    {{ expression }}   {# comment #}
+    {{ expression }}   {# comment #}   tags with a minus, as {%- and -%}, trim the blanks before or after them
     {% for m in messages %} ... {% endfor %}      loop.index0, loop.index, loop.first, loop.last
     {% if c %} ... {% elif c %} ... {% else %} ... {% endif %}
     {% set name = expression %}
@@ -113,7 +113,9 @@ class Generation:
     body: tuple
 
 
-_PART = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
+#: What a tag holds: texts in quotes, in which its end may stand, and anything else but its end.
+_INSIDE = r"((?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|(?!-?{0}).)*)"
+_PART = re.compile(r"\{\{(-?)" + _INSIDE.replace("{0}", r"\}\}") + r"(-?)\}\}|\{%(-?)" + _INSIDE.replace("{0}", r"%\}") + r"(-?)%\}|\{#(-?).*?(-?)#\}", re.S)
 _TOKEN = re.compile(r"\s*(?:(?P<text>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<number>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<sign>==|!=|<=|>=|[<>()\[\].|~+]))")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
@@ -233,17 +235,23 @@ class _Expression:
 
 def parse(source: str) -> tuple:
     """The statements of a template."""
-    parts, at = [], 0
+    parts, at, trim = [], 0, False
+
+    def plain(text: str, before: bool) -> None:
+        text = text.lstrip() if trim else text
+        text = text.rstrip() if before else text
+        if text:
+            parts.append(("text", text))
+
     for m in _PART.finditer(source):
-        if m.start() > at:
-            parts.append(("text", source[at : m.start()]))
-        if m[1] is not None:
-            parts.append(("value", m[1]))
-        elif m[2] is not None:
-            parts.append(("do", m[2].strip()))
-        at = m.end()
-    if at < len(source):
-        parts.append(("text", source[at:]))
+        groups = m.groups()
+        plain(source[at : m.start()], "-" in (groups[0], groups[3], groups[6]))
+        if groups[1] is not None:
+            parts.append(("value", groups[1]))
+        elif groups[4] is not None:
+            parts.append(("do", groups[4].strip()))
+        at, trim = m.end(), "-" in (groups[2], groups[5], groups[7])
+    plain(source[at:], False)
     body, left = _block(parts, 0, ())
     if left < len(parts):
         raise TemplateError(f"unexpected {parts[left][1]!r}")
@@ -429,11 +437,16 @@ def _statement(node: object, loss: bool) -> Callable[[dict], Iterator[Piece]]:
         items = iter(over(scope) or ())
         none = object()
         now, i = next(items, none), 0
+        outer = {k: scope[k] for k in (name, "loop") if k in scope}
         while now is not none:
             after = next(items, none)
             scope[name], scope["loop"] = now, {"index0": i, "index": i + 1, "first": i == 0, "last": after is none}
             yield from body(scope)
             now, i = after, i + 1
+        #: The names of a loop end with it; an outer loop gets its own back.
+        for k in (name, "loop"):
+            scope.pop(k, None)
+        scope.update(outer)
 
     return loop
 
@@ -448,6 +461,19 @@ def _sequence(body: tuple, loss: bool) -> Callable[[dict], Iterator[Piece]]:
     return run
 
 
+class _Once:
+    """Messages that come as a stream can be gone through once."""
+
+    def __init__(self, messages: Iterator[dict]):
+        self.messages: Iterator[dict] | None = messages
+
+    def __iter__(self) -> Iterator[dict]:
+        if self.messages is None:
+            raise TemplateError("the messages are a stream and have been read")
+        messages, self.messages = self.messages, None
+        return messages
+
+
 @dataclass
 class Template:
     """A compiled template."""
@@ -456,12 +482,19 @@ class Template:
     tree: tuple = field(init=False)
 
     def __post_init__(self):
-        self.tree = fold_block(parse(self.source))
-        self._run = _sequence(self.tree, False)
+        try:
+            self.tree = fold_block(parse(self.source))
+            self._run = _sequence(self.tree, False)
+        except RecursionError as e:
+            raise TemplateError("too deeply nested") from e
 
     def pieces(self, messages: Iterable[dict], **values: object) -> Iterator[Piece]:
         """Pieces of text, as the messages come, and whether they count for the loss."""
-        return self._run({**values, "messages": messages})
+        once = isinstance(messages, Iterator)
+        try:
+            yield from self._run({**values, "messages": _Once(messages) if once else messages})
+        except (RecursionError, TypeError) as e:
+            raise TemplateError(str(e)) from e
 
     def render(self, messages: Iterable[dict], **values: object) -> tuple[str, list[tuple[int, int]]]:
         """The text, and the spans under the loss mask."""

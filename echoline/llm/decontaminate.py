@@ -9,24 +9,27 @@ n neighbouring pieces may have n - 1 edits: an occurrence within the budget has
 whose ancestors keep to theirs, so a hit is verified upwards, short spans first, and nearly
 all chance hits end after a few characters.
 
-Items are read in blocks of ``block_chars`` characters, so what a task holds is bounded
-whatever the number of items; all documents are held against every block.
+Items are compiled in blocks of ``block_chars`` characters and broadcast, a block at a time, so that
+a worker holds one matcher whatever the number of items; all documents are held against every
+block. The hits of blocks are a union of scans; ``decontaminate`` writes down what is left after each.
 
-Cases: null, empty and wordless items match nothing; items of under ``min_chars``
-characters must occur as they are, between blanks; null texts have no hits; a null item
+Cases: null, empty and wordless items match nothing; items that are too short for an
+edit must occur as they are, between blanks; null texts have no hits; a null item
 id is reported as null; repeated rows are judged each; extra columns pass through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echoline.llm.common import fresh
+from echoline.llm.common import fresh, materialise
 
 _BLANKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -175,63 +178,59 @@ class Matcher:
         return best
 
 
-def _budgeted(item_id: int | None, text: str | None, max_error: float, min_chars: int) -> tuple[int | None, str, int] | None:
+def budgeted(item_id: int | None, text: str | None, max_error: float) -> tuple[int | None, str, int] | None:
+    """id, text to look for and edits allowed; None for an item without a word."""
     plain = normalise(text)
     if not plain:
         return None
-    if len(plain) < min_chars:
-        return item_id, f" {plain} ", 0
-    return item_id, plain, int(max_error * len(plain))
+    k = int(max_error * len(plain))
+    return (item_id, plain, k) if k else (item_id, f" {plain} ", 0)
 
 
-def _blocks(benchmark: DataFrame, max_error: float, min_chars: int, block_chars: int) -> Iterator[list[tuple[int | None, str, int]]]:
-    block, size = [], 0
+def _blocks(benchmark: DataFrame, max_error: float, block_chars: int) -> Iterator[Broadcast]:
+    """Matchers of ``block_chars`` characters of items each, broadcast as they are wanted; the driver holds one block of items."""
+    context, block, size = benchmark.sparkSession.sparkContext, [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        if (item := _budgeted(row[0], row[1], max_error, min_chars)) is None:
+        if (item := budgeted(row[0], row[1], max_error)) is None:
             continue
         block.append(item)
         size += len(item[1])
         if size >= block_chars:
-            yield block
+            yield context.broadcast(Matcher(block))
             block, size = [], 0
     if block:
-        yield block
+        yield context.broadcast(Matcher(block))
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, column: str = "hits", max_error: float = 0.1, min_chars: int = 24, block_chars: int = 4_000_000) -> DataFrame:
-    """``docs`` with an array of the items that each text holds."""
-    out = docs.withColumn(column, F.array().cast(HITS))
-    for block in _blocks(benchmark, max_error, min_chars, block_chars):
-        (part,) = fresh(out, "part_hits")
-        out = _against(out, block, part)
-        out = out.withColumn(column, F.concat(column, part)).drop(part)
-    return out
-
-
-def _against(docs: DataFrame, items: list[tuple[int | None, str, int]], column: str) -> DataFrame:
+def _with_hits(docs: DataFrame, matcher: Broadcast, column: str) -> DataFrame:
+    """``docs`` with an array of the items of one block that each text holds."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
     where = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items)
         for batch in batches:
             found = []
             for text in batch.column(where).to_pylist():
                 #: Blanks at both ends, so that short items are found there too; offsets are less by one.
-                hits = matcher.find(f" {normalise(text)} ")
+                hits = matcher.value.find(f" {normalise(text)} ")
                 found.append([{"item_id": i, "distance": d, "start": max(0, s - 1), "end": e - 1} for i, d, s, e in hits])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, column])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, HITS)]))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.1, block_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, distance, start, end (in the normalised text): a row for each item that a row of ``docs`` holds."""
-    found = with_hits(docs.select("doc_id", "text"), benchmark, **options)
-    return found.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.item_id", "h.distance", "h.start", "h.end")
+    slim = docs.select("doc_id", "text")
+    parts = [_with_hits(slim, m, "hits").select("doc_id", F.explode("hits").alias("h")) for m in _blocks(benchmark, max_error, block_chars)]
+    none = slim.select("doc_id", F.explode(F.lit(None).cast(HITS)).alias("h")).limit(0)
+    return reduce(DataFrame.unionByName, parts or [none]).select("doc_id", "h.item_id", "h.distance", "h.start", "h.end")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.1, block_chars: int = 4_000_000) -> DataFrame:
     """The rows of ``docs`` that hold no item; columns as in ``docs``."""
     (hits,) = fresh(docs, "hits")
-    return with_hits(docs, benchmark, hits, **options).filter(F.size(hits) == 0).drop(hits)
+    out = docs
+    for i, matcher in enumerate(_blocks(benchmark, max_error, block_chars)):
+        out = _with_hits(materialise(out, "left") if i else out, matcher, hits).filter(F.size(hits) == 0).drop(hits)
+    return out

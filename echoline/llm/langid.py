@@ -9,22 +9,24 @@ chance that it beats the best single rival.
 
 Training: trigram counts of each language over a sample of the labelled rows of the
 training fold, about ``per_lang`` rows a language, drawn by a digest of id and text. That
-bound is the only sampling; prediction reads whole texts of every row. The model
-holds ``max_features`` trigrams a language at most, so its size has a bound.
+bound is the only sampling, and what bounds the model: it holds every trigram of the sample,
+one row a language on its way to the driver. Prediction reads whole texts of every row.
 
 Cases: a null text or one without a letter is ``und`` with score 0; a text with letters
 but no known trigram gets the most frequent language with its share of the sample; with
 nothing to learn from, everything is ``und``; ties go to the language first by name; a null
-id counts as the empty text for the folds; extra columns pass through.
+id counts as the empty text for the folds; extra columns pass through, but those named
+like the new ones are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,17 +53,17 @@ def has_letter(text: str | None) -> bool:
 class Model:
     """Log-probabilities of trigrams by language, and the mixture inference."""
 
-    def __init__(self, counts: dict[tuple[str, int], int], rows: dict[str, int], smoothing: float = 0.5, penalty: float = 3.0):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], rows: dict[str, int], smoothing: float = 0.5, penalty: float = 3.0):
         self.langs = sorted(rows)
         self.penalty = penalty
         total = sum(rows.values())
         self.prior = np.array([rows[x] / total for x in self.langs])
-        known = np.array(sorted({g for _, g in counts}), np.int32)
+        known = np.unique(np.concatenate([np.empty(0, np.int32), *(g for g, _ in counts.values())]))
         self.known = known
         table = np.full((len(known), len(self.langs)), smoothing)
-        lang = {x: i for i, x in enumerate(self.langs)}
-        for (x, g), n in counts.items():
-            table[np.searchsorted(known, g), lang[x]] += n
+        for i, x in enumerate(self.langs):
+            gram, n = counts.get(x, ((), ()))
+            table[np.searchsorted(known, gram), i] += n
         self.p = table / table.sum(axis=0, keepdims=True)
         self.index: np.ndarray | None = None
 
@@ -73,13 +75,13 @@ class Model:
         at = np.flatnonzero(found)
         return at, found[at].astype(float)
 
-    def _fit(self, p: np.ndarray, n: np.ndarray, steps: int = 40) -> tuple[np.ndarray, float]:
-        """Proportions and log-likelihood of the mixture of the columns of ``p``."""
+    def _fit(self, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
+        """Proportions and log-likelihood of the mixture of the columns of ``p``, once the likelihood, which never falls, has settled."""
         share = np.full(p.shape[1], 1 / p.shape[1])
         if p.shape[1] == 1:
             return share, float(n @ np.log(p[:, 0]))
         total, last = n.sum(), -np.inf
-        for step in range(steps):
+        for step in count():
             mixed = p @ share
             if step % 4 == 3:
                 now = float(n @ np.log(mixed))
@@ -120,18 +122,18 @@ class Model:
         return self.langs[int(best_set[top])], float(best_share[top] * (sure if alone else 1.0))
 
 
-def train(docs: DataFrame, per_lang: int = 1500, max_features: int = 20_000, max_langs: int = 1000, **options) -> Model:
+def train(docs: DataFrame, per_lang: int = 1500, **options) -> Model:
     """Learns from text and non-null lang of the training fold (crc32 of the id modulo 4 is not 2)."""
     fold = docs.filter(~held_out(F.col("doc_id"), 4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = {r[0]: r[1] for r in fold.groupBy("lang").count().limit(max_langs + 1).collect()}
-    if len(rows) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    rows = {r[0]: r[1] for r in fold.groupBy("lang").count().collect()}
     if not rows:
         return Model({}, {})
-    share = F.create_map(*[F.lit(x) for lang, n in rows.items() for x in (lang, min(1.0, per_lang / n))])
-    sample = fold.filter(uniform("langid", F.col("doc_id"), F.md5("text")) <= share[F.col("lang")]).select("lang", "text")
+    names = sorted(rows)
+    chance = fold.sparkSession.createDataFrame([(x, min(1.0, per_lang / rows[x])) for x in names], "lang_name string, chance double")
+    drawn = fold.select("lang", "text", uniform("langid", F.col("doc_id"), F.md5("text")).alias("u"))
+    sample = drawn.join(F.broadcast(chance), F.col("lang") == F.col("lang_name")).filter("u <= chance").select("lang", "text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[np.ndarray]] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -140,16 +142,19 @@ def train(docs: DataFrame, per_lang: int = 1500, max_features: int = 20_000, max
             gram, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram, pa.int32()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counted.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= max_features)
-    return Model({(r[0], r[1]): r[2] for r in top.select("lang", "gram", "n").collect()}, rows, **options)
+    def packed(table: pa.Table) -> pa.Table:
+        return pa.table({"lang": table["lang"][:1], "gram": [table["gram"].to_numpy().tobytes()], "n": [table["n"].to_numpy().tobytes()]})
+
+    counted = sample.mapInArrow(tally, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    by_lang = counted.groupBy("lang").applyInArrow(packed, "lang string, gram binary, n binary").collect()
+    return Model({r[0]: (np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.int64)) for r in by_lang}, rows, **options)
 
 
 def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score; only the text is read."""
+    """``docs`` with the predicted language and its score, which replace columns of those names; only the text is read."""
+    passed = [c for c in docs.columns if c.lower() not in {lang.lower(), score.lower()}]
     (body,) = fresh(docs, "body")
-    at = len(docs.columns)
+    at = len(passed)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +164,9 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
             new = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *new], names=[*batch.schema.names[:at], lang, score])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.withColumn(body, F.col("text")).mapInArrow(run, schema)
+    slim = docs.select(*passed, F.col("text").alias(body))
+    schema = T.StructType([*slim.drop(body).schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    return slim.mapInArrow(run, schema)
 
 
 def judged(docs: DataFrame, **options) -> DataFrame:

@@ -4,8 +4,9 @@ A rule is a host and a path: it fits the host and its subdomains where the url's
 starts with the rule's. Of the rules that fit, the one of the greatest length (host and path)
 wins; of equal ones that with the longer host, then block over allow. The trie goes from the
 last host label to the first; a host's node holds a trie of path segments, in which the
-last segment of a rule is a prefix of the url's. Rules are compiled and broadcast in blocks
-of ``max_rules``, a bound on what a task holds; every url meets every block.
+last segment of a rule is a prefix of the url's. The trie is compiled once and broadcast.
+It holds ``max_rules`` rules at most; more rules go through as many tries, one after the other,
+with the rows written down between, so that a worker never holds two.
 
 Cases: a null url or one without ``://`` has an empty host and path and gets no rule, but for
 rules of an empty host and path; an unruled url gets ``default``; repeated rows are
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echoline.llm.common import fresh
+from echoline.llm.common import fresh, materialise
 
 BLOCK, ALLOW = "block", "allow"
 
@@ -105,9 +106,10 @@ def judged(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, defa
     h, p = fresh(pages, "url_host", "url_path")
     kind = "struct<length:int,host_length:int,blocks:int,rule:string>"
     out = pages.select(*passed, host(F.col(url)).alias(h), path(F.col(url)).alias(p), F.lit(None).cast(kind).alias(best))
-    source = iter(rules)
+    source, first = iter(rules), True
     while block := list(islice(source, max_rules)):
-        out = _against(out, block, h, p, best)
+        out = _against(out if first else materialise(out, "judged"), block, h, p, best)
+        first = False
     b = F.col(best)
     verdict = F.when(b.isNull(), F.lit(default)).when(b["blocks"] == 1, F.lit(BLOCK)).otherwise(F.lit(ALLOW))
     passed = [c for c in passed if c.lower() not in new]
@@ -116,13 +118,13 @@ def judged(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, defa
 
 def _against(pages: DataFrame, block: list[tuple[str, str, str]], h: str, p: str, best: str) -> DataFrame:
     """The better of ``best`` and the winner among a block of rules."""
-    shared = pages.sparkSession.sparkContext.broadcast(block)
+    shared = pages.sparkSession.sparkContext.broadcast(Trie(block))
     (part,) = fresh(pages, "part")
     i, j = pages.columns.index(h), pages.columns.index(p)
     struct = pa.struct([("length", pa.int32()), ("host_length", pa.int32()), ("blocks", pa.int32()), ("rule", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(shared.value)
+        trie = shared.value
         for batch in batches:
             found = [trie.find(x, y) for x, y in zip(batch.column(i).to_pylist(), batch.column(j).to_pylist(), strict=True)]
             rows = [f and dict(zip(("length", "host_length", "blocks", "rule"), f, strict=True)) for f in found]

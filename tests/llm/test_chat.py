@@ -25,6 +25,10 @@ def test_escape_round_trip():
     ("{{ messages_missing }}{{ name | trim | length }}", "3"),
     ("{{ \"it\\n's\" }}", "it\n's"),
     ("{% if 'se' in 'user' %}y{% else %}n{% endif %}", "y"),
+    ("{{ '}}' }}{{ \"%}\" ~ '-}}' }}", "}}%}-}}"),
+    ("a {%- if true -%} b {% endif %} c {{- 'd' -}} \n e {#- no -#} f", "ab  cdef"),
+    ("{% for m in messages %}{% for k in messages %}{{ loop.index }}{% endfor %}:{{ loop.index }} {% endfor %}{{ loop }}{{ m }}", "123:1 123:2 123:3 "),
+    ("{% for m in messages %}{{ m.text }}{% endfor %}|{% for m in messages %}{{ m.text }}{% endfor %}", "ttt|ttt"),
 ])
 def test_language(source, wanted):
     messages = [{"role": r, "text": "t"} for r in ("user", "assistant", "user")]
@@ -37,6 +41,17 @@ def test_sandbox_and_errors(source):
         Template(source).render([], a="text")
 
 
+def test_deep_nesting_and_streams():
+    for source in ("{{ " + "(" * 3000 + "1" + ")" * 3000 + " }}", "{{ " + "a ~ " * 20000 + "a }}", "{% if a %}" * 2000 + "{% endif %}" * 2000):
+        with pytest.raises(TemplateError):
+            Template(source).render([], a="x")
+    twice = Template("{% for m in messages %}{{ m.text }}{% endfor %}{% for m in messages %}{{ m.text }}{% endfor %}")
+    with pytest.raises(TemplateError):
+        twice.render(iter([{"text": "a"}]))
+    with pytest.raises(TemplateError):
+        Template("{{ a < 1 }}").render([], a="x")
+
+
 def test_folding():
     assert fold_block(parse("a{{ 'b' | upper }}{% if 1 == 1 %}c{% else %}{{ x }}{% endif %}{{ 2 > 3 }}")) == (Emit(Const("aBcfalse")),)
     (node,) = fold_block(parse("{% if x %}1{% elif true %}2{% else %}3{% endif %}"))

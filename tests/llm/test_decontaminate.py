@@ -40,7 +40,7 @@ def test_against_brute_force(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
     prose = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, prose(rng.randrange(8, 40))) for i in range(12)] + [(12, "tiny item"), (13, None), (14, " . "), (None, prose(20)), (15, "word, Word")]
+    items = [(i, prose(rng.randrange(8, 40))) for i in range(12)] + [(12, "tiny item"), (16, "tinier a"), (13, None), (14, " . "), (None, prose(20)), (15, "word, Word")]
     docs = []
     for i in range(80):
         parts = [prose(rng.randrange(0, 60))]
@@ -49,13 +49,13 @@ def test_against_brute_force(spark):
             text = items[15 if j == 16 else j][1] if j != 15 else "WORD word"
             parts += [edited(rng, text, rng.randrange(0, 14)) if j < 5 else text.upper(), prose(rng.randrange(0, 30))]
         docs.append((i, " ".join(parts)))
-    docs += [(100, None), (101, ""), (101, ""), (102, items[0][1]), (102, items[0][1])]
+    docs += [(103, "a tiny itm b"), (104, "gtinier a"), (105, "word wrd"), (106, "x " * 1500 + items[1][1] + " y" * 1500), (100, None), (101, ""), (101, ""), (102, items[0][1]), (102, items[0][1])]
     truth = []
     for d, text in docs:
         plain = dc.normalise(text)
         for item, body in items:
             norm = dc.normalise(body)
-            if len(norm) >= 24:
+            if int(0.1 * len(norm)):
                 if (x := distance(norm, plain)) <= int(0.1 * len(norm)):
                     truth.append((d, item, x))
             elif norm and f" {norm} " in f" {plain} ":
@@ -66,6 +66,8 @@ def test_against_brute_force(spark):
     for chars in (4_000_000, 150):
         found = dc.leaks(df, bench, block_chars=chars).collect()
         assert sorted(((r.doc_id, r.item_id, r.distance) for r in found), key=key) == sorted(truth, key=key)
+    again = dc.decontaminate(df, bench, block_chars=150)
+    assert sorted(r.doc_id for r in again.collect()) == sorted(d for d, _ in docs if d not in {x[0] for x in truth})
     norm = {d: dc.normalise(t) for d, t in docs}
     whole = {i: dc.normalise(t) for i, t in items}
     for r in found:

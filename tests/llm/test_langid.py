@@ -43,6 +43,33 @@ def test_label_is_no_input_of_a_prediction(spark):
     assert sorted(one) == sorted(other)
 
 
+def test_default_names_replace_columns(spark):
+    _, docs = fixture(spark)
+    out = langid.predict(docs.selectExpr("*", "'x' AS SCORE"), langid.train(docs))
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert {r.lang_pred for r in out.collect()} <= set(WORDS)
+
+
+def test_set_of_languages_against_all_subsets(spark):
+    """The set that backward steps choose is worth as much as the best of all seven."""
+    from itertools import combinations
+
+    _, docs = fixture(spark)
+    model = langid.train(docs)
+    rng = random.Random(11)
+    for parts in (("en", 40), ("de", 3)), (("en", 300), ("fr", 200)), (("en", 100), ("de", 100), ("fr", 100)), (("fr", 25),), (("de", 6), ("en", 5)):
+        text = " ".join(prose(rng, x, n) for x, n in parts)
+        at, n = model._features(text)
+        p, cost = model.p[at], model.penalty * np.log(n.sum() + 1)
+        best = max(
+            ((like / 3 - cost * k, chosen, share) for k in (1, 2, 3) for chosen in combinations(range(3), k) for share, like in [model._fit(p[:, list(chosen)], n)]),
+            key=lambda x: x[0],
+        )
+        lang, score = model.predict(text)
+        assert lang == model.langs[best[1][int(np.argmax(best[2]))]]
+        assert len(best[1]) == 1 or abs(score - best[2].max()) < 0.02
+
+
 def test_mixture_against_grid(spark):
     _, docs = fixture(spark)
     model = langid.train(docs)
