@@ -55,7 +55,7 @@ def _detect(a: np.ndarray, b: np.ndarray, rate: float, per_band: int, height: fl
     return out
 
 
-def detect_many(pairs: DataFrame, rate: float = K.SAMPLE_RATE, per_band: int = 5, keep: int = 10, height: float = K.MIN_PEAK_HEIGHT) -> DataFrame:
+def detect_many(pairs: DataFrame, rate: float = K.SAMPLE_RATE, per_band: int = 10, keep: int = 10, height: float = K.MIN_PEAK_HEIGHT) -> DataFrame:
     """Several sources a pair: peaks of four bands, those off the pipe dropped, clustered at 5 m, the best of each cluster, the best ``keep``."""
 
     @F.pandas_udf(_PEAKS)

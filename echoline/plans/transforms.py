@@ -11,6 +11,7 @@ from echoline.functions import dsp
 from echoline.functions import physics as P
 from echoline.operators import estimators
 from echoline.operators.kernels import array_kernel, struct_kernel
+from echoline.plans import kernel_sql as Q
 from echoline.plans.registry import query
 from echoline.plans.signals import E, long, pairs, signals
 from echoline.sources import synthetic
@@ -35,22 +36,22 @@ def _pair_kernel(name: str, f, doc: str, sql: str | None = None) -> None:
     query(sql, name)(run)
 
 
-_kernel("bandpass_butter", lambda x: dsp.bandpass(x, 100, 1500, RATE), "Zero-phase Butterworth band-pass of order 4.")
-_kernel("highpass_butter", lambda x: dsp.highpass(x, 50, RATE), "Zero-phase high-pass at 50 Hz.")
-_kernel("lowpass_butter", lambda x: dsp.lowpass(x, 1000, RATE), "Zero-phase low-pass at 1 kHz.")
-_kernel("bandstop_butter", lambda x: dsp.bandstop(x, 400, 800, RATE), "Zero-phase band-stop.")
-_kernel("notch_hum", lambda x: dsp.remove_hum(x, RATE), "Mains hum and harmonics out.")
-_kernel("comb_filter", lambda x: dsp.comb(x, RATE, 200.0), "Notches of one width at harmonics.")
-_kernel("default_filters", lambda x: dsp.default_pipeline(x, RATE), "DC, hum, high-pass, low-pass.")
-_kernel("prepare_signal", lambda x: dsp.prepare(x, RATE), "Preparation for correlation.")
-_kernel("spectral_subtract", lambda x: dsp.spectral_subtraction(x, dsp.welch(x[:, :16], RATE, 16)[1], width=32, hop=8), "Spectral subtraction with the noise of the first quarter.")
-_kernel("wavelet_packets", dsp.wavelet_packet_energies, "Energies of the 16 packets of level 4.")
-_kernel("cwt_energy", dsp.cwt_energies, "Energies at 32 scales.")
-_kernel("mel_segments", lambda x: dsp.log_mel(x, RATE, 16, 32, 16).reshape(len(x), -1), "Log-mel frames of 32 samples.")
-_kernel("mfcc_frames", lambda x: dsp.mfcc(x, RATE, 8, mels=16, n_fft=32, hop=16).reshape(len(x), -1), "Cepstra of the log-mel frames.")
-_pair_kernel("lms_cancel", lambda a, b: dsp.lms(a, b, 16)[1], "LMS noise canceller: what B has beyond A.")
-_pair_kernel("xcorr_adaptive", lambda a, b: dsp.cross_adaptive(a, b, 16), "Correlation after an adaptive filter.")
-_pair_kernel("wavelet_corr", lambda a, b: dsp.cross_wavelet(a, b, 3), "Correlation by wavelet levels.")
+_kernel("bandpass_butter", lambda x: dsp.bandpass(x, 100, 1500, RATE), "Zero-phase Butterworth band-pass of order 4.", Q.filtered([Q.sections(100, 1500)]))
+_kernel("highpass_butter", lambda x: dsp.highpass(x, 50, RATE), "Zero-phase high-pass at 50 Hz.", Q.filtered([Q.sections(50, None)]))
+_kernel("lowpass_butter", lambda x: dsp.lowpass(x, 1000, RATE), "Zero-phase low-pass at 1 kHz.", Q.filtered([Q.sections(None, 1000)]))
+_kernel("bandstop_butter", lambda x: dsp.bandstop(x, 400, 800, RATE), "Zero-phase band-stop.", Q.filtered([Q.sections(400, 800, True)]))
+_kernel("notch_hum", lambda x: dsp.remove_hum(x, RATE), "Mains hum and harmonics out.", Q.filtered(Q.notches(60.0, 30.0)))
+_kernel("comb_filter", lambda x: dsp.comb(x, RATE, 200.0), "Notches of one width at harmonics.", Q.filtered(Q.notches(200.0, None)))
+_kernel("default_filters", lambda x: dsp.default_pipeline(x, RATE), "DC, hum, high-pass, low-pass.", Q.filtered([*Q.notches(60.0, 30.0), Q.sections(50, None), Q.sections(None, 2000)], Q.CENTRED))
+_kernel("prepare_signal", lambda x: dsp.prepare(x, RATE), "Preparation for correlation.", Q.prepared())
+_kernel("spectral_subtract", lambda x: dsp.spectral_subtraction(x, dsp.welch(x[:, :16], RATE, 16)[1], width=32, hop=8), "Spectral subtraction with the noise of the first quarter.", Q.SUBTRACTED)
+_kernel("wavelet_packets", dsp.wavelet_packet_energies, "Energies of the 16 packets of level 4.", Q.PACKETS)
+_kernel("cwt_energy", dsp.cwt_energies, "Energies at 32 scales.", Q.MORLET)
+_kernel("mel_segments", lambda x: dsp.log_mel(x, RATE, 16, 32, 16).reshape(len(x), -1), "Log-mel frames of 32 samples.", Q.MEL)
+_kernel("mfcc_frames", lambda x: dsp.mfcc(x, RATE, 8, mels=16, n_fft=32, hop=16).reshape(len(x), -1), "Cepstra of the log-mel frames.", Q.MFCC)
+_pair_kernel("lms_cancel", lambda a, b: dsp.lms(a, b, 16)[1], "LMS noise canceller: what B has beyond A.", Q.LMS)
+_pair_kernel("xcorr_adaptive", lambda a, b: dsp.cross_adaptive(a, b, 16), "Correlation after an adaptive filter.", Q.ADAPTIVE)
+_pair_kernel("wavelet_corr", lambda a, b: dsp.cross_wavelet(a, b, 3), "Correlation by wavelet levels.", Q.WAVELET)
 _pair_kernel("coherence_weighted_corr", lambda a, b: dsp.coherence_weighted(a, b, RATE), "PHAT weighted by coherent bands.")
 
 _kernel(
@@ -94,44 +95,49 @@ _pair_kernel(
 )
 
 
-@query()
+@query(Q.SNR)
 def spectral_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean power over that of the quietest tenth of the spectrum."""
     snr = struct_kernel(lambda x: {"snr": dsp.signal_snr_db(x)}, "snr: double", F.col("x"))
     return signals(spark, sf_dir).select("vec_id", r(snr["snr"], 4).alias("snr_db"), r(A.peak(F.col("x"))).alias("peak"))
 
 
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A synthetic sensor pair for each supplier."""
+    return synthetic.sensor_pairs(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id")))
+
+
 @query()
 def correlate_pair_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single sources of 40 synthetic pairs: estimate beside truth."""
-    p = estimators.locate(synthetic.sensor_pairs(spark, 40))
+    """Single sources of a synthetic pair for each supplier: estimate beside truth."""
+    p = estimators.locate(_sites(spark, sf_dir))
     return p.select("pair_id", r(F.col("source_m"), 2).alias("truth_m"), r(F.col("from_a"), 2).alias("from_a"), r(F.col("conf"), 3).alias("confidence"), "message")
 
 
 @query()
 def multi_leak_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sources of 20 synthetic pairs, ranked."""
-    p = estimators.detect_many(synthetic.sensor_pairs(spark, 20))
+    """All sources of a synthetic pair for each supplier, ranked."""
+    p = estimators.detect_many(_sites(spark, sf_dir))
     return p.select("pair_id", "place", "band", r(F.col("at"), 2).alias("from_a"), r(F.col("conf"), 3).alias("confidence"))
 
 
 @query()
 def v3_report_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fused estimate of 20 synthetic pairs with its quality figures."""
-    p = estimators.report(synthetic.sensor_pairs(spark, 20))
+    """Fused estimate of a synthetic pair for each supplier with its quality figures."""
+    p = estimators.report(_sites(spark, sf_dir))
     return p.select("pair_id", r(F.col("source_m"), 2).alias("truth_m"), *[r(F.col(c), 3).alias(c) for c in ("from_a", "alignment", "coherence", "stability")])
 
 
-@query()
+@query(Q.STACKED)
 def stacked_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten noisy recordings of each label stacked: how many were used, and the gain."""
+    """Recordings of each label stacked: how many were good enough, and the gain."""
     s = pairs(spark, sf_dir).select(F.col("label").cast("long").alias("pair_id"), F.col("pair_id").alias("recording_id"), "a", "b")
-    out = estimators.stack_pairs(s, 16.0, 0.0)
+    out = estimators.stack_pairs(s, 16.0)
     return out.select("pair_id", "used", "rejected", r(F.col("gain_db"), 4).alias("gain_db"), F.size("a").alias("n"))
 
 
 @query()
 def synthetic_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A labelled synthetic set, described."""
-    s = synthetic.labelled_set(spark, 8, n=4096)
+    """A labelled synthetic signal for each supplier, described."""
+    s = synthetic.labelled_set(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id")), n=4096)
     return s.select("row_id", "label", r(F.col("resonance_hz"), 3).alias("resonance_hz"), F.size("samples").alias("n"), r(A.rms(F.col("samples").cast("array<double>")), 5).alias("rms"))

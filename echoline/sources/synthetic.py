@@ -6,48 +6,55 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from echoline.functions import dsp
 from echoline.functions.constants import SAMPLE_RATE
 
 LABELS = ("LEAK", "QUIET", "NORMAL", "MECHANICAL", "RANDOM")
 
-#: Wave speed (m/s) and density (kg/m³) of materials and fluids.
-MATERIALS = {"ductile_iron": (5200, 7200), "gray_iron": (5000, 7100), "steel": (5900, 7850), "polyethylene": (1950, 950)}
-FLUIDS = {"water": (1480, 1000), "oil": (1400, 870), "air": (343, 1.2)}
-NOISE_FLOORS = {"low": 0.005, "medium": 0.02, "high": 0.05}
+#: Textbook elastic modulus (Pa), density (kg/m3) and Poisson's ratio of pipe walls.
+WALLS = {"steel": (2.0e11, 7.8e3, 0.3), "iron": (1.1e11, 7.1e3, 0.26), "pvc": (3.0e9, 1.4e3, 0.4)}
 
 
-def resonance_hz(diameter_mm: float, wall_mm: float, material: str, pressure: float, temperature: float) -> float:
-    """Ring frequency of a pipe, with small corrections for pressure, temperature and wall."""
-    speed = MATERIALS[material][0] * (1 + 0.003 * (pressure - 3)) * (1 - 0.001 * (temperature - 15))
-    return float(np.clip(speed / (np.pi * diameter_mm / 1000) * (1 - 0.8 * wall_mm / diameter_mm), 80, 4000))
+def ring_hz(diameter_m: float, wall: str) -> float:
+    """Ring frequency of a thin cylinder: the plate's wave speed over its circumference."""
+    modulus, density, poisson = WALLS[wall]
+    return float(np.sqrt(modulus / (density * (1 - poisson**2))) / (np.pi * diameter_m))
+
+
+def coloured(rng: np.random.Generator, n: int, gain: np.ndarray) -> np.ndarray:
+    """Noise of unit power whose half spectrum follows ``gain``."""
+    spec = rng.normal(size=n // 2 + 1) + 1j * rng.normal(size=n // 2 + 1)
+    x = np.fft.irfft(spec * gain, n)
+    return x / max(float(x.std()), 1e-12)
 
 
 def make(rng: np.random.Generator, label: str, n: int, rate: int = SAMPLE_RATE) -> tuple[np.ndarray, dict[str, float]]:
     """A signal of a class, and what it was made from."""
-    t = np.arange(n) / rate
-    diameter, wall, position = rng.uniform(80, 400), rng.uniform(4, 12), rng.uniform(0.5, 60)
-    material, fluid = list(MATERIALS)[rng.integers(len(MATERIALS))], "water"
-    level = NOISE_FLOORS[list(NOISE_FLOORS)[rng.integers(3)]]
-    hz = min(resonance_hz(diameter, wall, material, rng.uniform(1, 8), rng.uniform(4, 25)), 0.45 * rate)
-    noise = rng.normal(0, level, n)
+    hz = np.fft.rfftfreq(n, 1 / rate)
+    wall = sorted(WALLS)[int(rng.integers(len(WALLS)))]
+    diameter, distance = float(rng.choice([0.1, 0.15, 0.2, 0.3])), float(rng.uniform(1, 50))
+    ring = min(ring_hz(diameter, wall), 0.4 * rate)
+    floor = 10 ** rng.uniform(-2.6, -1.4) * rng.normal(size=n)
     if label == "LEAK":
-        size, pressure = rng.uniform(1, 30), rng.uniform(1, 8)
-        hiss = dsp.bandpass(rng.normal(0, 1, (1, n)), 100, min(2000, 0.9 * rate / 2), rate, 3)[0]
-        flow = np.sin(2 * np.pi * (1 + 8 * np.exp(-size / 10)) * t) * pressure / 5 * size / 50 * FLUIDS[fluid][1] / 1000
-        x = (0.5 * hiss * (1 + 0.3 * flow) + 0.3 * np.sin(2 * np.pi * hz * t)) * np.exp(-position / (3 * diameter / 1000 + 40))
+        #: Turbulence falls off above its corner, the wall rings, and the way to the sensor damps high frequencies.
+        corner = rng.uniform(300, 900)
+        gain = 1 / (1 + (hz / corner) ** 2) + 0.4 / (1 + ((hz - ring) / (0.05 * ring)) ** 2)
+        x = 0.25 * coloured(rng, n, gain * np.exp(-2e-5 * hz * distance) * (hz > 40))
     elif label == "QUIET":
         x = np.zeros(n)
     elif label == "NORMAL":
-        x = 0.05 * np.sin(2 * np.pi * rng.uniform(5, 40) * t) + 0.02 * rng.normal(0, 1, n)
+        x = 0.04 * coloured(rng, n, 1 / np.maximum(hz, 1.0))
     elif label == "MECHANICAL":
-        x = sum(0.2 / k * np.sin(2 * np.pi * k * rng.uniform(24, 60) * t) for k in range(1, 5))
+        turn = rng.uniform(20, 55)
+        phase = 2 * np.pi * np.cumsum(turn * (1 + 0.01 * np.sin(2 * np.pi * 0.7 * np.arange(n) / rate))) / rate
+        x = 0.25 * sum(np.sin(k * phase + rng.uniform(0, 6)) / k**1.5 for k in range(1, 7))
     else:
-        x = rng.normal(0, rng.uniform(0.05, 0.3), n)
-    x = np.roll(x + noise, int(rng.integers(0, max(1, n // 50)))) * rng.uniform(0.9, 1.1)
-    return np.clip(x, -1, 1), {"diameter_mm": diameter, "wall_mm": wall, "position_m": position, "resonance_hz": hz}
+        x = 0.05 * rng.normal(size=n)
+        clicks = rng.integers(0, n, rng.poisson(3 + n / rate))
+        x[clicks] += rng.normal(0, 0.6, len(clicks))
+    return np.clip(x + floor, -1, 1), {"diameter_m": diameter, "position_m": distance, "resonance_hz": ring}
 
 
 def surrogate(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -60,8 +67,8 @@ def surrogate(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.fft.irfft(np.abs(spec) * np.exp(1j * (phase + np.angle(spec[0]) * (np.arange(len(spec)) == 0))), len(x))
 
 
-def labelled_set(spark: SparkSession, per_label: int, seed: int = 42, n: int = 10 * SAMPLE_RATE) -> DataFrame:
-    """row_id, label, resonance_hz, position_m, samples."""
+def labelled_set(ids: DataFrame, seed: int = 42, n: int = 10 * SAMPLE_RATE) -> DataFrame:
+    """A signal for each row of ``ids`` (id long, not negative), the labels in turn: row_id, label, resonance_hz, position_m, samples."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -70,11 +77,11 @@ def labelled_set(spark: SparkSession, per_label: int, seed: int = 42, n: int = 1
                 x, made = make(np.random.default_rng([seed, i]), label, n)
                 yield pd.DataFrame({"row_id": [i], "label": [label], "resonance_hz": [made["resonance_hz"]], "position_m": [made["position_m"]], "samples": [x.astype(np.float32)]})
 
-    return spark.range(per_label * len(LABELS)).mapInPandas(run, "row_id long, label string, resonance_hz double, position_m double, samples array<float>")
+    return ids.select("id").mapInPandas(run, "row_id long, label string, resonance_hz double, position_m double, samples array<float>")
 
 
-def sensor_pairs(spark: SparkSession, count: int, seed: int = 42, n: int = 4096, length: float = 100.0, speed: float = 1400.0, rate: int = SAMPLE_RATE) -> DataFrame:
-    """pair_id, length, speed, source_m and both sensors' signals: broad-band noise that reaches B by (length - 2x)/speed later."""
+def sensor_pairs(ids: DataFrame, seed: int = 42, n: int = 4096, length: float = 100.0, speed: float = 1400.0, rate: int = SAMPLE_RATE) -> DataFrame:
+    """A pair for each row of ``ids`` (id long, not negative): pair_id, length, speed, source_m and both sensors' signals: broad-band noise that reaches B by (length - 2x)/speed later."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edge = int(length / speed * rate) + 1
@@ -91,4 +98,4 @@ def sensor_pairs(spark: SparkSession, count: int, seed: int = 42, n: int = 4096,
                 rows.append((i, length, speed, x, hear(a), hear(b)))
             yield pd.DataFrame(rows, columns=["pair_id", "length", "speed", "source_m", "a", "b"])
 
-    return spark.range(count).mapInPandas(run, "pair_id long, length double, speed double, source_m double, a array<float>, b array<float>")
+    return ids.select("id").mapInPandas(run, "pair_id long, length double, speed double, source_m double, a array<float>, b array<float>")

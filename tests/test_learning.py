@@ -25,7 +25,7 @@ def test_convolution_against_loops():
 
 
 def test_training_and_classification(spark):
-    data = synthetic.labelled_set(spark, 24, n=8192).cache()
+    data = synthetic.labelled_set(spark.range(120), n=8192).cache()
     f = learning.weighted(learning.binary_labels(data.withColumn("features", learning.mel_features(F.col("samples")))))
     model = learning.fit(f)
     scored = model.transform(f.withColumn("v", learning.array_to_vector("features")))

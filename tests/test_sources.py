@@ -77,7 +77,7 @@ def test_labels_and_xml(spark, tmp_path):
 
 
 def test_estimators(spark):
-    pairs = synthetic.sensor_pairs(spark, 8).cache()
+    pairs = synthetic.sensor_pairs(spark.range(8)).cache()
     for r in estimators.locate(pairs).collect():
         assert abs(r.from_a - r.source_m) < 0.5 and abs(r.from_a + r.from_b - r.length) < 1e-9
     best = {r.pair_id: r.at for r in estimators.detect_many(pairs).filter("place = 1").collect()}
@@ -86,8 +86,8 @@ def test_estimators(spark):
 
 
 def test_generator_does_not_depend_on_partitions(spark):
-    a = synthetic.labelled_set(spark, 2, n=2048).collect()
-    b = synthetic.labelled_set(spark, 2, n=2048).repartition(1).sort("row_id").collect()
+    a = synthetic.labelled_set(spark.range(10), n=2048).collect()
+    b = synthetic.labelled_set(spark.range(10), n=2048).repartition(1).sort("row_id").collect()
     assert sorted(a) == b and len({r.label for r in a}) == 5
     x = np.random.default_rng(0).normal(size=256)
     y = synthetic.surrogate(x, np.random.default_rng(1))
