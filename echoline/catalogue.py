@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echoline.plans import decisions, network, signals, surveys, transforms  # noqa: F401
+from echoline.plans import decisions, drivers, network, signals, surveys, transforms  # noqa: F401
 from echoline.plans.registry import QUERIES, SQL, Query
 
 

@@ -121,3 +121,12 @@ def decibel(x: Column, power: int = 1) -> Column:
 
 def ceiling_half(n: Column) -> Column:
     return F.floor((n + 1) / 2).cast("int")
+
+
+def config_problems(rate: Column, method: Column, low: Column, high: Column, conf: Column) -> Column:
+    """The invariants that a configuration breaks, in one text; empty if none."""
+    rules = [
+        (rate != K.SAMPLE_RATE, "sample rate differs"), (~method.isin("phat", "scot", "roth"), "unknown method"), (low >= high, "band is empty"),
+        (high > K.SAMPLE_RATE / 2, "band passes Nyquist"), ((conf < 0) | (conf > 1), "confidence out of range"),
+    ]
+    return F.concat_ws("; ", *[F.when(c, F.lit(t)) for c, t in rules])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from echoline.functions import dsp
 from echoline.functions.constants import SAMPLE_RATE
+from echoline.operators.kernels import by_length
 
 _ONE = {
     "dc_removed": lambda x: x - x.mean(axis=1, keepdims=True),
@@ -32,8 +33,13 @@ _TWO = {
 }
 
 
-def _row(f, *x: object) -> np.ndarray | None:
-    return None if any(v is None or not len(v) for v in x) else f(*[np.asarray(v, float)[None] for v in x])[0]
+def _batch(f, *columns: pd.Series) -> pd.Series:
+    """``f`` on all signals of a length at once; null for null and empty signals."""
+    out: list[np.ndarray | None] = [None] * len(columns[0])
+    for rows, signals in by_length(*columns):
+        for i, y in zip(rows, f(*signals), strict=True):
+            out[i] = y
+    return pd.Series(out)
 
 
 def register(spark: SparkSession, prefix: str = "acoustic_") -> list[str]:
@@ -42,14 +48,14 @@ def register(spark: SparkSession, prefix: str = "acoustic_") -> list[str]:
     def one(f):
         @F.pandas_udf("array<double>")
         def run(x: pd.Series) -> pd.Series:
-            return pd.Series([_row(f, v) for v in x])
+            return _batch(f, x)
 
         return run
 
     def two(f):
         @F.pandas_udf("array<double>")
         def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([_row(f, v, w) for v, w in zip(a, b, strict=True)])
+            return _batch(f, a, b)
 
         return run
 

@@ -66,3 +66,24 @@ def last_wins(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
 def anti_join_new(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """Rows whose key was never seen, each key once."""
     return rows.join(seen.select(key).distinct(), key, "left_anti").dropDuplicates([key])
+
+
+def ranks(df: DataFrame, keys: Sequence[str], bin_: Column, *order: Column, rank: str = "place") -> DataFrame:
+    """The place of every row of a key in an order that ``bin_`` never goes against.
+
+    Bins are counted first, so rows are ordered inside a bin only and no task sees a whole key. ``bin_`` takes a bounded
+    number of values, as the counts go to all tasks.
+    """
+    binned = df.withColumn("_bin", bin_)
+    up = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(up), F.lit(0))).drop("_n")
+    out = binned.join(F.broadcast(before), [*keys, "_bin"])
+    return out.withColumn(rank, F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(*order))).drop("_bin", "_before")
+
+
+def even_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int = 1024) -> tuple[DataFrame, Column]:
+    """``df`` with the range of each key, and the bin of a row's value in it, for ``ranks``."""
+    range_ = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    width = F.col("_hi") - F.col("_lo")
+    bin_ = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0))
+    return df.join(F.broadcast(range_), list(keys)), bin_

@@ -11,7 +11,7 @@ from echoline.functions import dsp
 from echoline.functions import physics as P
 from echoline.operators import relational as R
 from echoline.plans import network
-from echoline.plans.registry import SQL, query, table
+from echoline.plans.registry import query, table
 
 r = P.rounded
 
@@ -96,15 +96,17 @@ def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_FILES}, k AS (SELECT round(p, 3) AS p, count_if(truth) AS pos, count_if(NOT truth) AS neg FROM fl GROUP BY 1), c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM k)
-SELECT round(sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos) * sum(neg)), 6) AS auc FROM c
+WITH {_FILES}, k AS (SELECT truth, (rank() OVER (ORDER BY round(p, 9)) + rank() OVER (ORDER BY round(p, 9)) + count(*) OVER (PARTITION BY round(p, 9)) - 1) / 2.0::DOUBLE AS place FROM fl)
+SELECT round((sum(place) FILTER (truth) - count_if(truth) * (count_if(truth) + 1) / 2) / (count_if(truth) * count_if(NOT truth)), 6) AS auc FROM k
 """)
-def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank-sum AUC over probabilities to three decimals: at most 1,001 rows are ranked, whatever the input."""
-    k = files(spark, sf_dir).groupBy(F.round("p", 3).alias("p")).agg(F.count_if("truth").alias("pos"), F.count_if(~F.col("truth")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = k.withColumn("below", below)
-    return c.agg(r(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+def roc_auc(spark: SparkSession, sf_dir: str, bins: int = 4096) -> DataFrame:
+    """Rank-sum AUC. Counts of bins come first, so values are ranked inside a bin only."""
+    f = files(spark, sf_dir).select("truth", F.round("p", 9).alias("p")).withColumn("bin", F.floor(F.col("p") * bins))
+    k = f.groupBy("bin", "p").agg(F.count_if("truth").alias("pos"), F.count_if(~F.col("truth")).alias("neg"))
+    before = lambda by: F.coalesce(F.sum("neg").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = k.groupBy("bin").agg(F.sum("neg").alias("neg")).select("bin", before(Window.orderBy("bin")).alias("below"))
+    c = k.join(F.broadcast(sums), "bin").withColumn("under", F.col("below") + before(Window.partitionBy("bin").orderBy("p")))
+    return c.agg(r(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
 @query(f"WITH {_FILES} SELECT truth, round(avg(-CASE WHEN truth THEN 0.75 * pow(1 - p, 2) * ln(p) ELSE 0.25 * pow(p, 2) * ln(1 - p) END), 6) AS focal, round(avg(-CASE WHEN truth THEN ln(p) ELSE ln(1 - p) END), 6) AS cross_entropy FROM fl GROUP BY truth")
@@ -249,7 +251,7 @@ def triangulate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.count("*").alias("members"), r(F.stddev_pop("d"), 4).alias("uncertainty_m"), r(F.min("conf")).alias("low"), r(F.max("conf")).alias("high"), F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("sensor_id").cast("string"), r(F.col("d"), 3))))).cast("string").alias("distances")).withColumns({"la": r(F.col("la")), "lo": r(F.col("lo"))})
 
 
-@query()
+@query("SELECT s_nationkey AS site_id, count(*)::INTEGER AS sensors, 0.0::DOUBLE AS miss_m FROM supplier GROUP BY s_nationkey HAVING count(*) >= 3")
 def trilaterate_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least-squares positions from exact ranges to a hidden point 120 m east and 80 m north of the centre."""
 
@@ -344,12 +346,12 @@ def ingest_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'x' || event_id ELSE event_id::VARCHAR END AS id, CASE event_id % 4 WHEN 0 THEN '1' ELSE '3' END AS kind, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'site' END AS site, CASE WHEN event_id % 7 = 0 THEN NULL ELSE '9' END AS gain FROM events WHERE event_id < 500)
-SELECT id, coalesce(try_cast(id AS BIGINT), 0) AS number, (row_number() OVER (ORDER BY coalesce(try_cast(id AS BIGINT), 0), id))::INTEGER AS place FROM t WHERE NOT (kind <> '3' OR (site IS NULL AND gain IS NULL))
+WITH t AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'x' || event_id ELSE event_id::VARCHAR END AS id, CASE event_id % 4 WHEN 0 THEN '1' ELSE '3' END AS kind, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'site' END AS site, CASE WHEN event_id % 7 = 0 THEN NULL ELSE '9' END AS gain FROM events)
+SELECT id, coalesce(try_cast(id AS BIGINT), 0) AS number, (row_number() OVER (ORDER BY coalesce(try_cast(id AS BIGINT), 0), id))::BIGINT AS place FROM t WHERE NOT (kind <> '3' OR (site IS NULL AND gain IS NULL))
 """)
 def catalogue_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue's filter, then its order by numeric id, others as 0, over the SQL's ids below 500 only; ``catalogue_sort_all`` sorts the whole table."""
-    return _catalogue_order(table(spark, sf_dir, "events").filter("event_id < 500")).withColumn("place", F.col("place").cast("int"))
+    """The catalogue's filter, then its order by numeric id, others as 0."""
+    return _catalogue_order(table(spark, sf_dir, "events"))
 
 
 def _catalogue_order(events: DataFrame, bins: int = 64) -> DataFrame:
@@ -371,12 +373,6 @@ def _catalogue_order(events: DataFrame, bins: int = 64) -> DataFrame:
     return t.join(F.broadcast(before), "bin").select("id", "number", place.alias("place"))
 
 
-@query(SQL["catalogue_sort"].replace(" WHERE event_id < 500", "").replace("::INTEGER AS place", "::BIGINT AS place"))
-def catalogue_sort_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``catalogue_sort`` over the whole table."""
-    return _catalogue_order(table(spark, sf_dir, "events"))
-
-
 @query("""
 WITH l AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY doc_id % 200 ORDER BY doc_id DESC) AS k FROM labels),
 d AS (SELECT doc_id, 'rec' || doc_id % 200 || CASE doc_id % 3 WHEN 0 THEN '_part1' WHEN 1 THEN '_padded' ELSE '' END || '.wav' AS name FROM documents)

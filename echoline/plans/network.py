@@ -10,7 +10,7 @@ from echoline.functions import constants as K
 from echoline.functions import physics as P
 from echoline.functions import text as X
 from echoline.operators import relational as R
-from echoline.plans.registry import SQL, query, table
+from echoline.plans.registry import query, table
 
 r = P.rounded
 
@@ -41,21 +41,11 @@ def interval_pair_match_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {_MATCHED}, k AS (
   SELECT *, row_number() OVER (PARTITION BY user_id_a, user_id_b ORDER BY drift_s, event_id_a, event_id_b) AS place FROM m)
-SELECT event_id_a, event_id_b, user_id_a, user_id_b, round(drift_s, 6) AS drift_s, place::INTEGER AS place FROM k WHERE place <= 2
+SELECT event_id_a, event_id_b, user_id_a, user_id_b, round(drift_s, 6) AS drift_s, place::INTEGER AS place FROM k WHERE place <= {K.MAX_BATCH_PAIRS}
 """)
 def interval_pair_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two best synchronised recordings of each sensor pair, as its SQL has it; ``interval_pair_match_all`` takes as many as the reference."""
-    return _best_matches(spark, sf_dir, 2)
-
-
-@query(SQL["interval_pair_match"].replace("place <= 2", f"place <= {K.MAX_BATCH_PAIRS}"))
-def interval_pair_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best synchronised recordings of each sensor pair, up to the reference's limit."""
-    return _best_matches(spark, sf_dir, K.MAX_BATCH_PAIRS)
-
-
-def _best_matches(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    best = R.first_by(matched(spark, sf_dir), ["user_id_a", "user_id_b"], F.col("drift_s"), F.col("event_id_a"), F.col("event_id_b"), n=n, rank="place")
+    """The best synchronised recordings of each sensor pair, up to the limit of a batch."""
+    best = R.first_by(matched(spark, sf_dir), ["user_id_a", "user_id_b"], F.col("drift_s"), F.col("event_id_a"), F.col("event_id_b"), n=K.MAX_BATCH_PAIRS, rank="place")
     return best.select("event_id_a", "event_id_b", "user_id_a", "user_id_b", r(F.col("drift_s")).alias("drift_s"), "place")
 
 

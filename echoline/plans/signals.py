@@ -6,8 +6,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echoline.functions import arrays as A
@@ -181,15 +180,12 @@ WITH {E}, k AS (SELECT *, row_number() OVER (PARTITION BY label, i ORDER BY v, v
 SELECT label, i::INTEGER AS i, round(sum(w * v) / sum(w), 6) + 0 AS v FROM k WHERE k > trunc(n * 0.1) AND k <= n - trunc(n * 0.1) GROUP BY label, i
 """)
 def stack_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted means of each sample without the lowest and highest tenth; whole groups are stacked in NumPy."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        v = dsp.trimmed_stack(np.stack(pdf.x.to_list()), 0.1, 1.0 + pdf.vec_id.to_numpy() % 3)
-        return pd.DataFrame({"label": pdf.label.iloc[0], "i": np.arange(len(v), dtype=np.int32), "v": v})
-
-    out = signals(spark, sf_dir).groupBy("label").applyInPandas(run, "label int, i int, v double")
-    return out.select("label", "i", r(F.col("v")).alias("v"))
+    """Weighted means of each sample without the lowest and highest tenth, ranked sample by sample."""
+    by = Window.partitionBy("label", "i")
+    s = _samples(spark, sf_dir).withColumn("k", F.row_number().over(by.orderBy("v", "vec_id"))).withColumn("n", F.count("*").over(by)).withColumn("w", F.lit(1.0) + F.col("vec_id") % 3)
+    cut = F.floor(F.col("n") * 0.1)
+    s = s.filter((F.col("k") > cut) & (F.col("k") <= F.col("n") - cut))
+    return s.groupBy("label", "i").agg(r(F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
 
 
 @query(f"WITH {E} SELECT label, i::INTEGER AS i, round(median(v), 6) + 0 AS v FROM e GROUP BY label, i")
@@ -206,14 +202,13 @@ def _huber_sql(rounds: int) -> str:
 
 @query(_huber_sql(4))
 def stack_huber(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four rounds of reweighting with delta 0.05."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = dsp.huber_stack(np.stack(pdf.sort_values("vec_id").x.to_list()), 0.05, 4, 0.0)
-        return pd.DataFrame({"label": pdf.label.iloc[0], "i": np.arange(len(v), dtype=np.int32), "v": v})
-
-    out = signals(spark, sf_dir).groupBy("label").applyInPandas(run, "label int, i int, v double")
-    return out.select("label", "i", r(F.col("v")).alias("v"))
+    """Four rounds of reweighting with delta 0.05; a round is a sum on the map side, whatever the size of a group."""
+    s = _samples(spark, sf_dir)
+    mean = s.groupBy("label", "i").agg(F.avg("v").alias("m"))
+    for _ in range(4):
+        w = F.least(F.lit(1.0), 0.05 / F.greatest(F.abs(F.col("v") - F.col("m")), F.lit(1e-300)))
+        mean = s.join(mean, ["label", "i"]).withColumn("w", w).groupBy("label", "i").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    return mean.select("label", "i", r(F.col("m")).alias("v"))
 
 
 @query("""
@@ -233,8 +228,9 @@ WITH k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type
 SELECT event_type, p, round(value, 6) AS value FROM k, (VALUES (0.25::DOUBLE), (0.5), (0.95)) t(p) WHERE k = floor(p * n) + 1
 """)
 def percentile_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sorted[int(p n)], without interpolation."""
-    e = R.first_by(table(spark, sf_dir, "events"), ["event_type"], F.col("value"), F.col("event_id"), n=2**31 - 1, rank="k")
+    """sorted[int(p n)], without interpolation; rows are ranked inside bins of the value."""
+    events, bin_ = R.even_bins(table(spark, sf_dir, "events").select("event_type", "value", "event_id"), ["event_type"], "value")
+    e = R.ranks(events, ["event_type"], bin_, F.col("value"), F.col("event_id"), rank="k")
     n = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", F.explode(F.array(*map(F.lit, (0.25, 0.5, 0.95)))).alias("p"), "n")
     return e.join(F.broadcast(n), "event_type").filter(F.col("k") == F.floor(F.col("p") * F.col("n")) + 1).select("event_type", "p", r(F.col("value")).alias("value"))
 
@@ -396,7 +392,16 @@ def estimate_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peaks(spark, sf_dir).groupBy(P.estimate_message(delay, F.col("conf"), F.col("snr"), F.col("sharp")).alias("message"), P.confidence_band(F.col("conf")).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_PHAT}, mx AS (SELECT pair_id, max(abs(v)) AS top FROM c GROUP BY pair_id), tl AS (SELECT pair_id, avg(v * v) AS tail FROM c WHERE lag < -63 + 31 OR lag > 63 - 31 GROUP BY pair_id),
+nb AS (SELECT pair_id, lag, v, lag(v) OVER w AS b, lead(v) OVER w AS a FROM c WINDOW w AS (PARTITION BY pair_id ORDER BY lag)),
+cand AS (SELECT pair_id, list({{'v': v, 'spot': lag}} ORDER BY v DESC) AS rest FROM nb JOIN mx USING (pair_id) WHERE v > b AND v > a AND v >= 0.3 * top GROUP BY pair_id),
+pick AS (SELECT pair_id, 0 AS k, []::BIGINT[] AS picks, rest FROM cand UNION ALL SELECT pair_id, k + 1, list_append(picks, rest[1].spot), list_filter(rest, lambda z: abs(z.spot - rest[1].spot) >= 4) FROM pick WHERE k < 5 AND len(rest) > 0),
+l AS (SELECT pair_id, unnest(arg_max(picks, k)) AS spot FROM pick GROUP BY pair_id),
+q AS (SELECT l.pair_id, l.spot, max(c.v) FILTER (c.lag = l.spot) AS height, max(abs(c.v)) FILTER (abs(c.lag - l.spot) > 4) AS other FROM l JOIN c USING (pair_id) GROUP BY l.pair_id, l.spot),
+z AS (SELECT pair_id, spot, round(height, 6) AS height, round(0.3::DOUBLE * least(greatest(abs(height), 0.0), 1.0) + 0.4::DOUBLE * least(greatest(10 * log10(height * height / (tail + 1e-10)) / 30, 0.0), 1.0) + 0.3::DOUBLE * least(greatest((abs(height) / other - 1) / 9, 0.0), 1.0), 6) AS conf FROM q JOIN tl USING (pair_id))
+SELECT pair_id, spot::INTEGER AS lag, height, conf, (row_number() OVER (PARTITION BY pair_id ORDER BY conf DESC, spot))::INTEGER AS place FROM z
+""")
 def multi_peak_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to five peaks of each pair, four lags apart, by confidence."""
 
@@ -643,11 +648,16 @@ SELECT vec_id, k::INTEGER AS k, round(p, 6) AS p, round(CASE WHEN sum(u) OVER o
 """)
 def window_gating_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heuristic probability of windows and their weights p^0.5 snr^0.3; levels stand in for SNR."""
+    s = gates(spark, sf_dir).select("vec_id", F.posexplode(F.arrays_zip("chances", "weights")).alias("k", "z"))
+    return s.select("vec_id", "k", r(F.col("z.chances")).alias("p"), r(F.col("z.weights")).alias("weight"))
+
+
+def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, chances and weights of the windows; equal weights where none has any."""
     s = signals(spark, sf_dir).select("vec_id", F.transform(A.overlapping(F.col("x"), 16, 0.5), A.rms).alias("w"))
     chance = lambda v: F.when(v > 0.1, F.least(F.lit(0.9), 2 * v)).otherwise(F.lit(0.3))
     level = lambda v, m: F.pow((v - m["lo"]) / (m["hi"] - m["lo"] + 1e-12), F.lit(0.3))
     limits = F.struct(F.array_min("w").alias("lo"), F.array_max("w").alias("hi"))
-    s = s.withColumn("z", A.let(limits, lambda m: F.transform("w", lambda v: F.struct(chance(v).alias("p"), (F.sqrt(chance(v)) * level(v, m)).alias("u")))))
-    s = s.withColumn("all", A.total(F.transform("z", lambda z: z["u"]))).withColumn("n", F.size("z")).select("vec_id", "all", "n", F.posexplode("z").alias("k", "z"))
-    weight = F.when(F.col("all") < 1e-10, 1 / F.col("n")).otherwise(F.col("z.u") / F.col("all"))
-    return s.select("vec_id", "k", r(F.col("z.p")).alias("p"), r(weight).alias("weight"))
+    s = s.withColumn("u", A.let(limits, lambda m: F.transform("w", lambda v: F.sqrt(chance(v)) * level(v, m))))
+    weights = A.let(A.total(F.col("u")), lambda t: F.transform("u", lambda v: F.when(t < 1e-10, 1 / F.size("u")).otherwise(v / t)))
+    return s.select("vec_id", F.transform("w", chance).alias("chances"), weights.alias("weights"))

@@ -18,7 +18,11 @@ RECORDING = "id string, rst string, siteidtext string, recordingType string, gai
 
 def read_registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(sensors, pairs) of a registry file; missing numbers get their defaults, a missing speed that of the material."""
-    whole = spark.read.schema(REGISTRY).option("multiLine", "true").json(path)
+    return registry_tables(spark.read.schema(REGISTRY).option("multiLine", "true").json(path))
+
+
+def registry_tables(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sensors, pairs) of registries, a row each in the columns of ``REGISTRY``."""
     s = whole.select(F.explode("sensors").alias("sensor_id", "s"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     sensors = s.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,15 +26,16 @@ def check_ratios(ratios: tuple[float, ...]) -> None:
 
 
 def segments(recordings: DataFrame, rate: float = K.SAMPLE_RATE) -> DataFrame:
-    """path, label, samples to a row for each short segment: long_idx, short_idx, waveform, mel (64 numbers).
+    """path, label (and label_id, split), samples to a row for each short segment: long_idx, short_idx, waveform, mel (64 numbers).
 
     Recordings are cut or padded to ten seconds: 80 rows each.
     """
     fitted = A.fitted(F.col("samples").cast("array<double>"), int(K.DURATION_S * rate))
-    s = recordings.select("path", "label", F.posexplode(A.windows(fitted, K.LONG_WINDOW, K.LONG_WINDOW)).alias("long_idx", "w"))
-    s = s.select("path", "label", "long_idx", F.posexplode(A.windows(F.col("w"), K.SHORT_WINDOW, K.SHORT_WINDOW)).alias("short_idx", "w"))
+    kept = [c for c in recordings.columns if c in ("path", "label", "label_id", "split")]
+    s = recordings.select(*kept, F.posexplode(A.windows(fitted, K.LONG_WINDOW, K.LONG_WINDOW)).alias("long_idx", "w"))
+    s = s.select(*kept, "long_idx", F.posexplode(A.windows(F.col("w"), K.SHORT_WINDOW, K.SHORT_WINDOW)).alias("short_idx", "w"))
     mel = array_kernel(lambda x: dsp.log_mel(x, rate)[:, 0], F.col("w")).cast("array<float>")
-    return s.select("path", "label", "long_idx", "short_idx", F.col("w").cast("array<float>").alias("waveform"), mel.alias("mel"))
+    return s.select(*kept, "long_idx", "short_idx", F.col("w").cast("array<float>").alias("waveform"), mel.alias("mel"))
 
 
 def label_ids(df: DataFrame) -> DataFrame:
@@ -43,20 +45,23 @@ def label_ids(df: DataFrame) -> DataFrame:
 
 
 def build(spark: SparkSession, folders: dict[str, str], out: str) -> DataFrame:
-    """Segments of every split to Parquet, partitioned by split; labels are numbered over all of them. Returns the rejects."""
-    parts = []
+    """Segments of every split to Parquet, partitioned by split; labels are numbered over all of them. Returns the rejects.
+
+    Labels come from the listing alone; files are decoded once, into segments and a table of rejects beside ``out``.
+    """
+    listed = []
     for split, folder in folders.items():
-        root = folder.rstrip("/").rsplit("/", 1)[-1]
-        read = wav.read(spark, folder, channels="mean").withColumn("label", F.element_at(F.split("path", "/"), -2))
-        parts.append(read.filter(F.col("label") != root).withColumn("split", F.lit(split)))
-    whole = parts[0]
-    for more in parts[1:]:
-        whole = whole.unionByName(more)
+        found = wav.files(spark, folder).withColumn("label", F.element_at(F.split("path", "/"), -2)).withColumn("split", F.lit(split))
+        listed.append(found.filter(F.col("label") != folder.rstrip("/").rsplit("/", 1)[-1]))
+    whole = reduce(DataFrame.unionByName, listed)
     ids = label_ids(whole.select("label"))
-    good = whole.filter("error IS NULL")
-    rows = segments(good).join(F.broadcast(ids), "label").join(good.select("path", "split"), "path")
-    rows.write.mode("overwrite").partitionBy("split").parquet(out)
-    return whole.filter("error IS NOT NULL").select("split", "path", "error")
+    read = wav.decoded(whole, channels="mean", kept=("label", "split")).join(F.broadcast(ids), "label")
+    good = segments(read.filter("error IS NULL"))
+    bad = read.filter("error IS NOT NULL").select("split", "path", "error")
+    #: One pass over the files: a rejected file is a row without a segment.
+    both = good.withColumn("error", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
+    both.write.mode("overwrite").partitionBy("split").parquet(out)
+    return spark.read.parquet(out).filter("error IS NOT NULL").select("split", "path", "error")
 
 
 def standardised(labelled: DataFrame, rate: int = K.SAMPLE_RATE, seconds: int = K.DURATION_S) -> DataFrame:

@@ -103,3 +103,9 @@ def test_stack_and_classify(spark):
     rec = spark.createDataFrame([("x.wav", rng.normal(0, 0.3, 40960).tolist(), None), ("y.wav", [0.0] * 100, None), ("z.wav", None, "bad")], "path string, samples array<double>, error string")
     rows = {r.filepath: r for r in catalogues.classification_rows(estimators.classify(rec, np.full(64, 0.05), 1.0)).collect()}
     assert rows["x.wav"].is_leak == 1 and rows["y.wav"].is_leak == 0 and rows["z.wav"].notes == "error:bad"
+
+
+def test_upper_case_suffix(spark, tmp_path):
+    for name in ("a.wav", "b.WAV", "c.txt"):
+        (tmp_path / name).write_bytes(wav.encode(np.zeros(10)))
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in wav.files(spark, str(tmp_path)).select("path").collect()) == ["a.wav", "b.WAV"]
