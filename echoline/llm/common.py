@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +49,14 @@ def scratch(spark: SparkSession, name: str, outlives: bool = False) -> str:
     return f"{folder}/{name}"
 
 
-def materialise(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str, outlives: bool = False, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
 
-    Inside a ``temporary`` block the table ends with the block, unless it ``outlives`` it.
+    Inside a ``temporary`` block the table ends with the block, unless it ``outlives`` it. ``rows``: no more rows than
+    that, a few numbers each, are expected; tasks follow from it, so that small tables are not many files.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // 200_000)))
     path = scratch(df.sparkSession, name, outlives)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -89,6 +93,14 @@ def small(table: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def n_words(text: Column) -> Column:
     """Number of words; null counts as the empty text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

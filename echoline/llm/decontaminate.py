@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echoline.llm.common import fresh, materialise
+from echoline.llm.common import fresh, materialise, slices
 
 _BLANKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -208,7 +208,7 @@ def _with_hits(docs: DataFrame, matcher: Broadcast, column: str) -> DataFrame:
     where = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for text in batch.column(where).to_pylist():
                 #: Blanks at both ends, so that short items are found there too; offsets are less by one.

@@ -123,7 +123,8 @@ class ExactDedup:
             #: The groups of two and more rows, and the rows in them that have not been verified otherwise.
             rows = self.slim.select("nid", "doc_id", "th", _digest(F.col("text_sha256"), digest_bytes).alias("digest"))
             index = LsmIndex(memtable, fan_in).flush(rows.select("digest", "doc_id", "nid")).compact()
-            groups = materialise(index.filter("n > 1"), "groups")
+            self.n_rows = self.slim.count()
+            groups = materialise(index.filter("n > 1"), "groups", rows=self.n_rows)
             self.members = self._verified(rows, groups)
 
     def _hash(self) -> Column:
@@ -138,10 +139,10 @@ class ExactDedup:
 
     def _verified(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
         """nid, doc_id, th, first (of the group) and n for the rows of groups whose texts are the same bytes."""
-        members = materialise(rows.join(small(groups), "digest"), "members", outlives=True)
+        members = materialise(rows.join(small(groups), "digest"), "members", outlives=True, rows=self.n_rows)
         #: One row for each id and text is enough to read a text by.
         keys = members.groupBy("digest", "doc_id", "th").agg(F.min("nid").alias("nid"))
-        keys = materialise(keys, "keys")
+        keys = materialise(keys, "keys", rows=self.n_rows)
         failed = self._texts(keys).groupBy("digest").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a <> b").select("digest")
         failed = materialise(failed, "collisions")
         if failed.isEmpty():
@@ -193,7 +194,7 @@ class ExactDedup:
     def kept(self) -> DataFrame:
         """The rows of ``docs`` that stay; only repeats of one id and text are brought together."""
         each = self.members.groupBy("doc_id", "th").agg((F.min("nid") != F.first("first.nid")).alias("out"), F.count("*").alias("repeats"))
-        each = materialise(each, "each")
+        each = materialise(each, "each", rows=self.n_rows)
         stay, th, _ = self._matched(each.filter("out"), "left_anti")
         repeated = each.filter("NOT out AND repeats > 1")
         if not repeated.isEmpty():

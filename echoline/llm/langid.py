@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echoline.llm.common import fresh, held_out
+from echoline.llm.common import fresh, held_out, slices
 from echoline.llm.mixing import uniform
 
 UND = "und"
@@ -69,9 +69,10 @@ class Model:
 
     def _features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         if self.index is None:
-            self.index = np.full(1 << 24, len(self.known), np.int32)
-            self.index[self.known] = np.arange(len(self.known))
-        found = np.bincount(self.index[grams(text)], minlength=len(self.known) + 1)[:-1]
+            #: Places from 1; memory that holds zeros alone is never touched.
+            self.index = np.zeros(1 << 24, np.int32)
+            self.index[self.known] = np.arange(1, len(self.known) + 1)
+        found = np.bincount(self.index[grams(text)], minlength=len(self.known) + 1)[1:]
         at = np.flatnonzero(found)
         return at, found[at].astype(float)
 
@@ -135,7 +136,7 @@ def train(docs: DataFrame, per_lang: int = 1500, **options) -> Model:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[np.ndarray]] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found.setdefault(lang, []).append(grams(text))
         for lang, parts in found.items():
@@ -159,7 +160,7 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [judge.predict(t) for t in batch.column(at).to_pylist()]
             new = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *new], names=[*batch.schema.names[:at], lang, score])

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echoline.llm.common import SPACE, materialise, small, temporary
+from echoline.llm.common import SPACE, materialise, slices, small, temporary
 
 #: Registers, registers to a long, bits of a register. Standard error 1.04 / sqrt(32).
 _M, _PER, _BITS = 32, 4, 16
@@ -112,7 +112,7 @@ def _without(docs: DataFrame, digests: Broadcast) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = digests.value
-        for batch in batches:
+        for batch in slices(batches):
             texts, removed = [], batch.column(last).to_pylist()
             for i, text in enumerate(batch.column(where).to_pylist()):
                 lines = [] if text is None else text.split("\n")

@@ -248,7 +248,7 @@ class Automaton:
 class Scores:
     """Scores every row of ``docs``; see the module for the model and the plan. ``strength``: k of the smoothing."""
 
-    def __init__(self, docs: DataFrame, block_mb: float = 3.0, shard_entries: int = 1_500_000, strength: float = 4.0):
+    def __init__(self, docs: DataFrame, block_mb: float = 3.0, shard_entries: int = 1_500_000, strength: float = 16.0):
         self.docs, self.strength = docs, strength
         size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
         n_bytes = (size[0] or 0) + size[1]

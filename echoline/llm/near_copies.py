@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echoline.llm.common import fresh, materialise, small, temporary
+from echoline.llm.common import fresh, materialise, slices, small, temporary
 from echoline.llm.components import connected_components
 from echoline.llm.simhash import _signed, by_bucket, forest, in_tiles, least_near, majority, shingle_hashes
 
@@ -91,7 +91,7 @@ class NearCopies:
         words, wide, names = self.words, self.wide, ["nid", "doc_id", "th", "sid", *self.prints]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 sets = [np.unique(shingle_hashes(t, words)) for t in batch.column(3).to_pylist()]
                 prints = np.array([sketch(s, wide) for s in sets], np.int64).reshape(-1, wide)
                 digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
@@ -114,11 +114,12 @@ class NearCopies:
         words = self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["nid", "set"])
 
-        wanted = materialise(slim.join(small(nodes), "nid", "left_semi").select("nid", F.col("doc_id").alias("id"), F.col("th").alias("hash")), "wanted")
+        wanted = slim.join(small(nodes), "nid", "left_semi").select("nid", F.col("doc_id").alias("id"), F.col("th").alias("hash"))
+        wanted = materialise(wanted, "wanted", rows=nodes.count())
         doc_id, th = self._key()
         texts = self.docs.select(doc_id.alias("doc_id"), th.alias("th"), F.col("text").cast("binary").alias("body"))
         texts = texts.join(small(wanted), doc_id.eqNullSafe(F.col("id")) & (F.col("th") == F.col("hash"))).select("nid", "body")
@@ -129,7 +130,7 @@ class NearCopies:
         least = self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
                 near = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in both]
                 yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
@@ -140,9 +141,9 @@ class NearCopies:
     def _compared(self, groups: DataFrame, sets: DataFrame) -> DataFrame:
         """Links between the members (nid, root) of each group of candidates that have unlike roots."""
         least = self.least
-        sizes = materialise(groups.groupBy("group").agg(F.ceil(F.count("*") / self.sets).cast("int").alias("tiles")), "sizes")
+        sizes = materialise(groups.groupBy("group").agg(F.ceil(F.count("*") / self.sets).cast("int").alias("tiles")), "sizes", rows=groups.count())
         own = F.pmod(F.xxhash64("nid"), F.col("tiles")).cast("int")
-        rows = groups.join(sizes, "group").select("group", "nid", "root", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("j"))
+        rows = groups.join(small(sizes), "group").select("group", "nid", "root", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("j"))
         rows = rows.select("group", "nid", "root", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") > F.col("j")).alias("side"))
 
         def run(table: pa.Table) -> pa.Table:
@@ -174,18 +175,18 @@ class NearCopies:
 
     def _roots(self, slim: DataFrame, nodes: DataFrame) -> DataFrame:
         """node, root of the nodes that links connect."""
-        masks, radius = layout(nodes.count(), self.least, 64 * self.wide, self.per_bucket, self.recall)
+        n = nodes.count()
+        masks, radius = layout(n, self.least, 64 * self.wide, self.per_bucket, self.recall)
         compare = lambda prints, rows, split: least_near(prints, rows["nid"], radius, split)
         found = self._buckets(nodes, masks, ["nid", *self.prints]).mapInArrow(by_bucket(["key"], self.prints, ["nid"], compare, self.batch), "a long, b long")
         #: Whoever has candidates is an a, with the least of them as its b.
-        first = materialise(found.groupBy("a").agg(F.min("b").alias("b")), "first")
+        first = materialise(found.groupBy("a").agg(F.min("b").alias("b")), "first", rows=n)
         touched = first.select(F.col("a").alias("nid"))
         sets = self._sets(slim, touched)
-        edges = materialise(self._verified(first.filter("a > b").union(first.filter("a < b").select("b", "a")).distinct(), sets), "verified")
-        roots = connected_components(edges)
+        roots = connected_components(self._verified(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets))
 
         rooted = nodes.join(touched, "nid", "left_semi").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
-        rooted = materialise(rooted.select("nid", F.coalesce("root", "nid").alias("root"), *self.prints), "rooted")
+        rooted = materialise(rooted.select("nid", F.coalesce("root", "nid").alias("root"), *self.prints), "rooted", rows=first.count())
 
         def unlike(prints: np.ndarray, rows: np.ndarray, split: int | None) -> tuple[np.ndarray, np.ndarray]:
             a, b = forest(prints, radius, split, rows["root"])
@@ -193,26 +194,28 @@ class NearCopies:
 
         left = self._buckets(rooted, masks, ["nid", "root", *self.prints]).mapInArrow(by_bucket(["key"], self.prints, ["nid", "root"], unlike, self.batch), "a long, b long")
         groups = connected_components(left.distinct())
-        groups = materialise(groups.select(F.col("root").alias("group"), F.col("node").alias("nid")).join(rooted.select("nid", "root"), "nid"), "groups")
+        groups = materialise(groups.select(F.col("root").alias("group"), F.col("node").alias("nid")).join(small(rooted.select("nid", "root")), "nid"), "groups", rows=rooted.count())
         if groups.isEmpty():
             return roots
-        return connected_components(materialise(edges.union(self._compared(groups, sets)), "links"))
+        known = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        return connected_components(known.union(self._compared(groups, sets)))
 
     def _judge(self) -> tuple[DataFrame, DataFrame | None]:
         """Keys of the rows that go, and of rows that stay but are repeated."""
         slim = self._sketched()
         by_id = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "nid", "th")
         nodes = slim.groupBy("sid").agg(F.min("nid").alias("nid"), *[F.first(c).alias(c) for c in self.prints], F.count("*").alias("n"), F.min(by_id).alias("first"))
-        nodes = materialise(nodes, "nodes")
-        roots = materialise(self._roots(slim, nodes.select("nid", *self.prints)), "roots")
-        many = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").filter("n > 1 OR root IS NOT NULL")
-        many = materialise(many.select("sid", F.coalesce("root", "nid").alias("root"), "first"), "many")
+        nodes = materialise(nodes, "nodes", rows=slim.count())
+        roots = self._roots(slim, nodes.select("nid", *self.prints))
+        some = roots.count()
+        many = nodes.join(small(roots.withColumnRenamed("node", "nid")), "nid", "left").filter("n > 1 OR root IS NOT NULL")
+        many = materialise(many.select("sid", F.coalesce("root", "nid").alias("root"), "first"), "many", rows=some + nodes.filter("n > 1").count())
         keeps = many.groupBy("root").agg(F.min("first").alias("keep"))
-        targets = materialise(many.join(keeps, "root").select("sid", "keep"), "targets")
+        targets = materialise(many.join(keeps, "root").select("sid", "keep"), "targets", rows=many.count())
         rows = slim.join(small(targets), "sid").filter("nid <> keep.nid")
         same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("th") == F.col("keep.th"))
-        rows = materialise(rows.select("doc_id", "th", same.alias("same")).distinct(), "others")
-        gone = materialise(rows.filter("NOT same").select("doc_id", "th"), "gone", outlives=True)
+        rows = materialise(rows.select("doc_id", "th", same.alias("same")).distinct(), "others", rows=slim.count())
+        gone = materialise(rows.filter("NOT same").select("doc_id", "th"), "gone", outlives=True, rows=rows.count())
         repeats = rows.filter("same").select("doc_id", "th")
         return gone, None if repeats.isEmpty() else materialise(repeats, "repeats", outlives=True)
 

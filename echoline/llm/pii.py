@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echoline.llm.common import materialise, small, temporary
+from echoline.llm.common import materialise, slices, small, temporary
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -217,7 +217,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                 yield {"start": s, "end": e, "kind": k, "based": based, "value": value, "pattern": key(p)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             base, found = [], []
             for text in batch.column(2).to_pylist():
                 spans = base_spans(text or "")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoline.llm.common import fresh, materialise, temporary
+from echoline.llm.common import fresh, materialise, slices, temporary
 from echoline.llm.components import connected_components
 
 #: All lanes of a word.
@@ -68,7 +68,7 @@ def with_fingerprints(docs: DataFrame, words: int = 4, column: str = "fp", text_
     """``docs`` (or its columns ``keep``) with the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             prints = np.array([fingerprint(t, words) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints)], names=[*batch.schema.names[:-1], column])
 
@@ -237,7 +237,8 @@ def _signed(x: int) -> int:
 def in_tiles(keyed: DataFrame, by: list[str], columns: list[str], tile: int) -> DataFrame:
     """Buckets sorted within partitions; those of more than ``tile`` rows in pairs of tiles lo, hi, whose rows carry their side."""
     long_ = keyed.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > tile)
-    long_ = materialise(long_.withColumn("tiles", F.ceil(F.col("n") / (tile // 2)).cast("int")).drop("n"), "long")
+    #: A bucket a row; buckets of so many rows are few.
+    long_ = materialise(long_.withColumn("tiles", F.ceil(F.col("n") / (tile // 2)).cast("int")).drop("n").coalesce(1), "long")
     own = F.pmod(F.xxhash64(*columns), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     #: A row of tile i goes to every pair of tiles (i, j).
@@ -311,12 +312,13 @@ def _cut(held: np.ndarray, by: list[str], batch: int, last: bool) -> tuple[np.nd
 def components(prints: DataFrame, radius: int = 4) -> DataFrame:
     """``prints``: doc_id, fp (a materialised table). A row for each fp: component_id, the smallest id reachable."""
     with temporary(prints.sparkSession):
-        nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+        n = prints.count()
+        nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints", rows=n)
         roots = connected_components(links(nodes.select("fp"), radius))
         rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        rooted = materialise(rooted, "rooted")
+        rooted = materialise(rooted, "rooted", rows=n)
         least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        return materialise(rooted.join(least, "root").select("fp", "root", "component_id"), "classes", outlives=True)
+        return materialise(rooted.join(least, "root").select("fp", "root", "component_id"), "classes", outlives=True, rows=n)
 
 
 def judged(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 
 from echoline.llm import lm_score
 
-K = 4.0
+K = 16.0
 
 
 def words(text):

@@ -66,7 +66,7 @@ def test_components_against_brute_force(spark, tile):
     signed = [p - 2**64 if p >> 63 else p for p in prints]
     df = spark.createDataFrame(list(zip(ids, signed)), "doc_id long, fp long")
     nodes = df.select("fp").distinct()
-    roots = connected_components(simhash.links(nodes, 4, tile=tile))
+    roots = connected_components(simhash.links(nodes, 4, tile=tile), 0 if tile == 16 else 500_000)
     found = {r.fp: r.root for r in df.join(roots.withColumnRenamed("node", "fp"), "fp", "left").collect()}
     truth = brute(ids, prints)
     classes = {}
@@ -90,3 +90,23 @@ def test_judged(spark):
     assert {i: by[i].component_id for i in truth} == truth and by[None].component_id == 1
     assert all(by[i].fingerprint == f"{p:016x}" for i, p in zip(range(1, 8), prints))
     assert simhash.judged(docs.limit(0)).count() == 0
+
+
+def test_stars_of_a_partition():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 0), (50, 30), (200, 400), (1000, 700)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        root = list(range(n))
+
+        def find(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for x, y in zip(a, b):
+            p, q = sorted((find(x), find(y)))
+            root[q] = p
+        from echoline.llm.components import stars
+
+        got = dict(zip(*(z.tolist() for z in stars(a, b))))
+        assert got == {i: find(i) for i in {*a.tolist(), *b.tolist()} if find(i) != i}
