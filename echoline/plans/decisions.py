@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from echoline.functions import dsp
 from echoline.functions import physics as P
 from echoline.operators import relational as R
-from echoline.plans import network
+from echoline.plans import kernel_sql, network
 from echoline.plans.registry import query, table
 
 r = P.rounded
@@ -232,7 +232,11 @@ def _flat(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     return np.stack([(lat - lat[0]) * k, (lon - lon[0]) * k * np.cos(np.radians(lat[0]))], axis=1)
 
 
-@query()
+@query(f"""
+{kernel_sql.linkage(network._SENSORS)}, d AS (SELECT h.*, la, lo, {network._hav('h', 'z').replace('z.latitude', 'm.la').replace('z.longitude', 'm.lo')} AS d FROM h JOIN m USING (site_id, cluster_id))
+SELECT site_id, cluster_id::INTEGER AS cluster_id, round(la, 6) AS la, round(lo, 6) AS lo, count(*) AS members, round(stddev_pop(d), 4) + 0 AS uncertainty_m, round(min(conf), 6) AS low, round(max(conf), 6) AS high,
+       '{{' || string_agg(sensor_id || ' -> ' || round(d, 3)::VARCHAR, ', ' ORDER BY sensor_id::VARCHAR) || '}}' AS distances FROM d GROUP BY site_id, cluster_id, la, lo
+""")
 def triangulate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average linkage of a survey's positions at 400 m, then weighted centres, spread and members."""
 

@@ -142,3 +142,38 @@ _POWERS = "f AS (SELECT vec_id, k, pow(sum(v * cos(2 * pi() * ((k * i) % 64) / 6
 SNR = f"WITH {E}, {_POWERS} SELECT vec_id, round(snr, 4) AS snr_db, round(peak, 6) AS peak FROM snr JOIN (SELECT vec_id, max(abs(v)) AS peak FROM e GROUP BY vec_id) USING (vec_id)"
 STACKED = f"""WITH {E}, {_POWERS}, q AS (SELECT label::BIGINT AS pair_id, least(greatest((a.snr + b.snr) / 2 / 30, 0), 1) >= 0.3 AS good FROM snr a JOIN snr b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1 JOIN s ON s.vec_id = a.vec_id)
 SELECT pair_id, count_if(good)::INTEGER AS used, count_if(NOT good)::INTEGER AS rejected, round(CASE WHEN count_if(good) > 0 THEN 10 * log10(count_if(good)) ELSE 0 END, 4) AS gain_db, CASE WHEN count_if(good) > 0 THEN 64 END::INTEGER AS n FROM q GROUP BY pair_id"""
+
+
+def _spline(n: int) -> np.ndarray:
+    """Second derivatives of a not-a-knot spline from its second differences."""
+    m = np.zeros((n, n))
+    for i in range(1, n - 1):
+        m[i, i - 1 : i + 2] = 1, 4, 1
+    m[0, :3] = m[-1, -3:] = 1, -2, 1
+    return np.linalg.inv(m)
+
+
+def spline_delay(phat: str) -> str:
+    """``phat``: CTEs up to c(pair_id, lag, v). The highest point of a spline around the peak on a grid ten times as fine."""
+    rows = ", ".join(f"({n}, {i}, {j}, {number(v)})" for n in range(11, 22) for (i, j), v in np.ndenumerate(_spline(n)))
+    return f"""WITH {phat}, minv AS (SELECT * FROM (VALUES {rows}) t(n, i, j, coef)), peak AS (SELECT pair_id, arg_max(lag, (v, -lag)) + 63 AS k FROM c GROUP BY pair_id),
+span AS (SELECT pair_id, greatest(0, k - 10) AS a, least(127, k + 11) - greatest(0, k - 10) AS n FROM peak), y AS (SELECT pair_id, a, n, lag + 63 - a AS t, v FROM span JOIN c USING (pair_id) WHERE lag + 63 >= a AND lag + 63 < a + n),
+d AS (SELECT *, CASE WHEN t = 0 OR t = n - 1 THEN 0 ELSE 6 * (lag(v) OVER o - 2 * v + lead(v) OVER o) END AS d FROM y WINDOW o AS (PARTITION BY pair_id ORDER BY t)),
+b AS (SELECT d.pair_id, minv.i AS t, sum(coef * d.d) AS bend FROM d JOIN minv ON minv.n = d.n AND minv.j = d.t GROUP BY d.pair_id, minv.i), z AS (SELECT y.*, bend FROM y JOIN b USING (pair_id, t)),
+grid AS (SELECT pair_id, a, n, q * 0.1::DOUBLE AS spot, least(floor(q * 0.1::DOUBLE)::BIGINT, n - 2) AS low, q FROM span, (SELECT unnest(range(201)) AS q) WHERE q <= (n - 1) * 10),
+top AS (SELECT g.pair_id, g.a, g.spot, g.q, l.bend * pow(1 - (g.spot - g.low), 3) / 6 + h.bend * pow(g.spot - g.low, 3) / 6 + (l.v - l.bend / 6) * (1 - (g.spot - g.low)) + (h.v - h.bend / 6) * (g.spot - g.low) AS s FROM grid g JOIN z l ON l.pair_id = g.pair_id AND l.t = g.low JOIN z h ON h.pair_id = g.pair_id AND h.t = g.low + 1)
+SELECT pair_id, round(-(arg_max(a + spot, (round(s, 12), -q)) - 63) / 4096, 8) + 0 AS delay_s FROM top GROUP BY pair_id"""
+
+
+def linkage(sensors: str) -> str:
+    """``sensors``: a CTE sensors(site_id, sensor_id, latitude, longitude). Average linkage of each site at 400 m, merge by merge."""
+    metres = "6371000.0::DOUBLE * pi() / 180"
+    mean = "list_avg(flatten(list_transform(z.p, lambda i: list_transform(z.q, lambda j: sqrt(pow(px[i] - px[j], 2) + pow(py[i] - py[j], 2))))))"
+    pairs = "flatten(list_transform(range(1, len(g) + 1), lambda a: list_transform(range(a + 1, len(g) + 1), lambda b: {'a': a, 'b': b, 'p': g[a], 'q': g[b]})))"
+    return f"""WITH RECURSIVE {sensors}, c AS (SELECT *, 0.5::DOUBLE + (sensor_id * 13 % 50) / 100.0::DOUBLE AS conf FROM sensors),
+l AS (SELECT site_id, list(sensor_id ORDER BY sensor_id) AS ids, list(latitude ORDER BY sensor_id) AS la, list(longitude ORDER BY sensor_id) AS lo FROM c GROUP BY site_id),
+r AS (SELECT site_id, ids, list_transform(la, lambda v: (v - la[1]) * {metres}) AS px, list_transform(lo, lambda v: (v - lo[1]) * {metres} * cos(radians(la[1]))) AS py, list_transform(range(1, len(ids) + 1), lambda i: [i]) AS g, false AS done FROM l
+  UNION ALL SELECT site_id, ids, px, py, CASE WHEN best.d <= 400 THEN list_append(list_filter(g, lambda v: v <> best.p AND v <> best.q), list_sort(list_concat(best.p, best.q))) ELSE g END, best IS NULL OR NOT best.d <= 400
+  FROM (SELECT *, list_sort(list_transform({pairs}, lambda z: {{'d': {mean}, 'p': z.p, 'q': z.q}}))[1] AS best FROM r WHERE NOT done)),
+k AS (SELECT site_id, ids, list_sort(g) AS g FROM r WHERE done), u AS (SELECT site_id, ids, unnest(g) AS members, unnest(range(len(g))) AS cluster_id FROM k), v AS (SELECT site_id, cluster_id, ids[unnest(members)] AS sensor_id FROM u),
+h AS (SELECT v.site_id, cluster_id, c.* EXCLUDE (site_id) FROM v JOIN c ON c.sensor_id = v.sensor_id), m AS (SELECT site_id, cluster_id, sum(conf * latitude) / sum(conf) AS la, sum(conf * longitude) / sum(conf) AS lo FROM h GROUP BY site_id, cluster_id)"""

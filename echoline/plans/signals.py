@@ -14,6 +14,7 @@ from echoline.functions import dsp
 from echoline.functions import physics as P
 from echoline.operators import relational as R
 from echoline.operators.kernels import array_kernel, struct_kernel
+from echoline.plans import kernel_sql
 from echoline.plans.registry import query, table
 
 r = P.rounded
@@ -364,7 +365,7 @@ def delay_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peaks(spark, sf_dir).select("pair_id", r(-(F.col("lag") + F.col("gaussian")) / 4096, 8).alias("delay_s"))
 
 
-@query()
+@query(kernel_sql.spline_delay(_PHAT))
 def delay_sinc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delay from a cubic spline ten times as fine around the peak."""
     p = peaks(spark, sf_dir)
