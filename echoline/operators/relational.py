@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,13 +79,20 @@ def ranks(df: DataFrame, keys: Sequence[str], bin_: Column, *order: Column, rank
     binned = df.withColumn("_bin", bin_)
     up = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     before = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(up), F.lit(0))).drop("_n")
-    out = binned.join(F.broadcast(before), [*keys, "_bin"])
+    out = null_safe_join(binned, before, [*keys, "_bin"])
     return out.withColumn(rank, F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(*order))).drop("_bin", "_before")
 
 
+def null_safe_join(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with the columns of ``small``, a row a key, null keys included."""
+    named = small.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in small.columns if c not in keys])
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys))
+    return df.join(F.broadcast(named), same).drop(*(f"_key_{k}" for k in keys))
+
+
 def even_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int = 1024) -> tuple[DataFrame, Column]:
     """``df`` with the range of each key, and the bin of a row's value in it, for ``ranks``."""
     range_ = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
     bin_ = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0))
-    return df.join(F.broadcast(range_), list(keys)), bin_
+    return null_safe_join(df, range_, keys), bin_

@@ -52,3 +52,17 @@ def test_arrays(spark):
     assert row.rms == pytest.approx(math.sqrt(52 / 5)) and row.median == 1 and row.silent == [0, 0] and row.kurt == 0
     assert row.right == [0, 0, 3, -1, 4] and row.left == [0] * 5 and row.scaled[4] == pytest.approx(-0.98) and row.w == [] and row.k == 2
     assert row.edge == 0 and row.off == pytest.approx((1 - -1) / (2 * (8 - 0))) and math.isinf(row.sharp) and row.seg[1] == [1, -5, 0] and len(row.energy) == 3
+
+
+def test_ranks_in_bins(spark):
+    from echoline.operators import relational as R
+
+    rows = [(k, v, i) for i, (k, v) in enumerate((k, v) for k in ("a", "b", None) for v in (3.0, -1.0, None, 7.5, 7.5, 0.0))]
+    df = spark.createDataFrame(rows, "k string, v double, i int")
+    binned, bin_ = R.even_bins(df, ["k"], "v", 4)
+    got = R.ranks(binned, ["k"], bin_, F.col("v").asc_nulls_last(), F.col("i")).collect()
+    assert len(got) == len(rows)
+    for k in ("a", "b", None):
+        mine = sorted((r.place, r.i) for r in got if r.k == k)
+        want = sorted((v is None, v or 0.0, i) for kk, v, i in rows if kk == k)
+        assert [i for _, i in mine] == [i for *_, i in want] and [p for p, _ in mine] == list(range(1, 7))
