@@ -526,3 +526,52 @@ def segment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def binary_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One label against all others."""
     return table(spark, sf_dir, "documents").filter("lang IS NOT NULL").select("doc_id", (F.col("lang") == "en").cast("int").alias("target"))
+
+
+# Ingest.
+
+
+@query("""
+WITH seen AS (SELECT event_id FROM events WHERE event_id < 600 AND event_id % 10 < 8), c AS (SELECT max(event_id) - 1 AS last FROM seen)
+SELECT event_id, false AS new FROM seen UNION ALL SELECT DISTINCT event_id, true FROM events, c WHERE event_id > last AND event_id NOT IN (SELECT event_id FROM seen)
+""")
+def cursor_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot after an ingest that begins one before the greatest id seen and takes each unseen id once."""
+    ids = table(spark, sf_dir, "events").select("event_id")
+    seen = ids.filter("event_id < 600 AND event_id % 10 < 8")
+    return catalogues.after_cursor(seen, ids, "event_id")
+
+
+@query(r"""
+WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '1' ELSE '3' END AS kind, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'L' || user_id || ' null here' ELSE 'L' || user_id || ' S9' END AS site, CASE WHEN event_id % 7 <> 0 THEN '9' END AS gain, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at_ FROM events),
+w AS (SELECT *, list_concat(list_filter(regexp_split_to_array(coalesce(site, ''), '\s+'), lambda v: v <> ''), ['OFF', 'OFF', 'OFF', 'OFF'])[1:2] AS w FROM t WHERE kind = '3' AND NOT (site IS NULL AND gain IS NULL)),
+n AS (SELECT *, list_transform(w, lambda v: CASE WHEN lower(v) IN ('null', 'none', '0') THEN 'OFF' ELSE v END) AS names FROM w)
+SELECT event_id, names[1] || '/' || names[2] || '/' || event_id || '~' || regexp_replace(at_, '[<>:"/\\|?*\s]+', '_', 'g') || '~' || coalesce(gain, '0') || '.wav' AS path FROM n WHERE event_id % 11 <> 0
+""")
+def download_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue rows that the ingest wants, each with the place where its file goes, without those that are there."""
+    i = F.col("event_id")
+    logger = F.concat(F.lit("L"), F.col("user_id").cast("string"))
+    t = table(spark, sf_dir, "events").select(
+        i, F.when(i % 4 == 0, F.lit("1")).otherwise(F.lit("3")).alias("kind"), F.when(i % 5 == 0, F.lit(None).cast("string")).when(i % 5 == 1, F.concat(logger, F.lit(" null here"))).otherwise(F.concat(logger, F.lit(" S9"))).alias("site"),
+        F.when(i % 7 != 0, F.lit("9")).alias("gain"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"),
+    )
+    t = t.filter(catalogues.wanted(F.col("kind"), F.col("site"), F.col("gain"))).withColumn("names", X.site_tokens(F.col("site")))
+    there = table(spark, sf_dir, "events").filter("event_id % 11 = 0").select("event_id")
+    path = X.output_path(F.concat_ws("/", F.col("names")[0], F.col("names")[1]), i.cast("string"), F.lit("wav"), F.col("time"), F.coalesce("gain", F.lit("0")))
+    return t.join(there, "event_id", "left_anti").select("event_id", path.alias("path"))
+
+
+@query("""
+WITH l AS (SELECT vec_id, vec_id % 9 = 0 AS bad, list_transform(range(4), lambda k: ((vec_id + k) % 5) / 4.0::DOUBLE) AS p FROM embeddings), s AS (SELECT *, list_avg(p) AS mean, len(list_filter(p, lambda v: v >= 0.35)) / 4.0::DOUBLE AS frac FROM l)
+SELECT vec_id::VARCHAR AS filepath, (CASE WHEN NOT bad AND frac >= 0.25 THEN 1 ELSE 0 END)::INTEGER AS is_leak, CASE WHEN bad THEN 0 ELSE round(mean, 6) END AS leak_conf_mean, CASE WHEN bad THEN '[]' ELSE '[' || array_to_string(p, ',') || ']' END AS per_long_probs_json,
+       CASE WHEN bad THEN 0 ELSE round(frac, 6) END AS long_pos_frac, CASE WHEN bad THEN 'error:unreadable' ELSE '' END AS notes FROM s
+""")
+def classification_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a classification run writes; files that failed are rows with a note."""
+    k, bad = F.col("vec_id"), F.col("vec_id") % 9 == 0
+    longs = F.when(~bad, F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: (k + j) % 5 / 4))
+    s = table(spark, sf_dir, "embeddings").select(k.cast("string").alias("path"), F.when(bad, F.lit("unreadable")).alias("error"), longs.alias("longs"))
+    p = F.col("longs")
+    s = s.withColumn("mean_p", A.mean(p)).withColumn("frac", F.size(F.filter(p, lambda v: v >= 0.35)) / F.size(p))
+    return catalogues.classification_rows(s.withColumn("leak", F.col("frac") >= 0.25))

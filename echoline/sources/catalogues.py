@@ -85,6 +85,14 @@ def wanted(recording_type: Column, site: Column, gain: Column) -> Column:
     return F.coalesce(recording_type == "3", F.lit(False)) & ~(site.isNull() & gain.isNull())
 
 
+def after_cursor(seen: DataFrame, listing: DataFrame, id_: str) -> DataFrame:
+    """The ids of a snapshot after an ingest, and which are new: the listing is asked from one before the greatest id seen."""
+    last = seen.agg((F.max(id_) - 1).alias("_last"))
+    asked = listing.select(id_).crossJoin(F.broadcast(last)).filter(F.col("_last").isNull() | (F.col(id_) > F.col("_last"))).select(id_)
+    new = asked.join(seen.select(id_), id_, "left_anti").distinct()
+    return seen.select(id_, F.lit(False).alias("new")).unionByName(new.select(id_, F.lit(True).alias("new")))
+
+
 def write_results(results: DataFrame, path: str, by: list[str]) -> None:
     """JSON documents in a folder for each key."""
     results.write.mode("overwrite").partitionBy(*by).json(path)
