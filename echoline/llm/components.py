@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every round first contracts the edges of each partition to stars, in the partition's own task; the steps
-after it are a grouped minimum and a join each, so neither links nor components reach
+The steps of a round are a grouped minimum and a join each, and at its end the edges of each partition are contracted
+to stars in the partition's own task, so neither links nor components reach
 the driver. Tables between rounds go to the shared folder. Edges that a count shows to be few
 enough for one partition are contracted there, which ends the rounds.
 """
@@ -69,7 +69,8 @@ def connected_components(edges: DataFrame, one_task: int = 500_000) -> DataFrame
     The rounds end when the edges stay as they are; their number grows with the logarithm of the longest path.
     ``one_task``: so many edges fit one partition.
     """
-    now = materialise(_contracted(edges.filter("a <> b")), "edges")
+    #: Written as they come: a task that makes edges in Python needs no second worker beside it.
+    now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
     state = lambda e: tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 7))")).first())
     seen, found = None, state(now)
     while found[0] > one_task and found != seen:

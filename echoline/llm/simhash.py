@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoline.llm.common import fresh, materialise, slices, temporary
+from echoline.llm.common import fresh, materialise, release, slices, temporary
 from echoline.llm.components import connected_components
 
 #: All lanes of a word.
@@ -276,6 +276,8 @@ def by_bucket(by: list[str], prints: list[str], others: list[str], compare, batc
             yield from filter(None, map(edges, whole))
         _, whole = _cut(held, [*by, "lo", "hi"], batch, True)
         yield from filter(None, map(edges, whole))
+        del held, whole
+        release()
 
     return run
 
