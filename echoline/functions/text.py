@@ -104,10 +104,15 @@ def file_label(text: Column) -> Column:
     return F.upper(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit("_")))
 
 
+def _two_decimals(x: Column) -> Column:
+    """``x`` with ties at the third decimal moved to the even side, as C and Python print them; Java rounds them up. Ties of binary numbers are odd eighths."""
+    return F.when(F.abs(x * 8) % 2 == 1, F.bround(x * 100) / 100).otherwise(x)
+
+
 def bytes_human(n: Column) -> Column:
     """Powers of 1024 with two decimals."""
     size, out = n.cast("double"), None
     for i, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
-        text = F.format_string(f"%.2f {unit}", size / float(1024**i))
+        text = F.format_string(f"%.2f {unit}", _two_decimals(size / float(1024**i)))
         out = F.when(size < float(1024 ** (i + 1)), text) if out is None else out.when(size < float(1024 ** (i + 1)), text)
-    return out.otherwise(F.format_string("%.2f PB", size / float(1024**5)))
+    return out.otherwise(F.format_string("%.2f PB", _two_decimals(size / float(1024**5))))
