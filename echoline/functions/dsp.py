@@ -6,7 +6,9 @@ number of rows. Filter designs are cached by their parameters.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 
@@ -560,24 +562,47 @@ def shift(x: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
+def plane_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all points of the plane. Squares are the C library's, whose last bit decides what merges first."""
+    i, j = np.triu_indices(len(x), 1)
+    square = lambda v: np.fromiter(map(math.pow, (v[i] - v[j]).tolist(), repeat(2.0)), float, len(i))
+    out = np.zeros((len(x), len(x)))
+    out[i, j] = out[j, i] = np.sqrt(square(x) + square(y))
+    return out
+
+
 def average_linkage(distances: np.ndarray, limit: float) -> np.ndarray:
-    """Cluster ids from 0 in the order of first members; merges while the mean distance is within ``limit``."""
-    groups = [[i] for i in range(len(distances))]
-    d = distances.astype(float).copy()
+    """Cluster ids from 0 in the order of first members; merges while the mean distance is within ``limit``.
+
+    Means are added up anew from the points, in the members' order with the older group outside; of equal
+    means, the pair goes first whose older, then whose younger group has the lower first member.
+    """
+    n = len(distances)
+    group, born, size, d = np.arange(n), np.arange(n), np.ones(n, int), distances.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    while len(groups) > 1:
-        i, j = sorted(np.unravel_index(d.argmin(), d.shape))
-        if not d[i, j] <= limit:
+    #: A group has the number of its first member; ``least`` is the smallest entry of each row.
+    least = d.min(axis=1, initial=np.inf)
+    for step in range(n, 2 * n - 1):
+        low = least.min()
+        if not low <= limit:
             break
-        a, b = len(groups[i]), len(groups[j])
-        d[i] = d[:, i] = (a * d[i] + b * d[j]) / (a + b)
-        d[i, i] = np.inf
-        groups[i] += groups.pop(j)
-        d = np.delete(np.delete(d, j, 0), j, 1)
-    out = np.empty(len(distances), int)
-    for k, group in enumerate(sorted(groups, key=min)):
-        out[group] = k
-    return out
+        ties = [(i, j) if born[i] < born[j] else (j, i) for i in np.flatnonzero(least == low) for j in np.flatnonzero(d[i] == low)]
+        i, j = min(ties)
+        keep, gone = min(i, j), max(i, j)
+        stale = (np.minimum(d[keep], d[gone]) == least) & np.isfinite(least)
+        group[group == gone] = keep
+        members = np.flatnonzero(group == keep)
+        size[keep], born[keep] = len(members), step
+        #: ``bincount`` adds in the order of its input.
+        sums = np.bincount(np.repeat(group, len(members)), weights=distances[:, members].ravel(), minlength=n)
+        mean = np.where(np.isfinite(d[keep]), sums / (size * len(members)), np.inf)
+        mean[[keep, gone]] = np.inf
+        d[gone] = d[:, gone] = least[gone] = np.inf
+        d[keep] = d[:, keep] = mean
+        least = np.minimum(least, mean)
+        stale[keep], stale[gone] = True, False
+        least[stale] = d[stale].min(axis=1)
+    return np.unique(group, return_inverse=True)[1]
 
 
 def trilaterate(anchors: np.ndarray, ranges: np.ndarray, rounds: int = 100) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -228,8 +230,7 @@ def gdop_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flat(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     """Metres in the plane around the first point."""
-    k = 6_371_000.0 * np.pi / 180
-    return np.stack([(lat - lat[0]) * k, (lon - lon[0]) * k * np.cos(np.radians(lat[0]))], axis=1)
+    return np.stack([(lat - lat[0]) * 6_371_000.0 * np.pi / 180, (lon - lon[0]) * 6_371_000.0 * np.pi / 180 * math.cos(np.radians(lat[0]))], axis=1)
 
 
 @query(f"""
@@ -243,7 +244,7 @@ def triangulate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sensor_id").reset_index(drop=True)
         p = _flat(pdf.latitude.to_numpy(), pdf.longitude.to_numpy())
-        pdf["cluster_id"] = dsp.average_linkage(np.linalg.norm(p[:, None] - p[None], axis=2), 400.0)
+        pdf["cluster_id"] = dsp.average_linkage(dsp.plane_distances(*p.T), 400.0)
         return pdf[["site_id", "sensor_id", "cluster_id", "latitude", "longitude", "conf"]]
 
     s = network.sensors(spark, sf_dir).withColumn("conf", 0.5 + F.col("sensor_id") * 13 % 50 / F.lit(100.0))
