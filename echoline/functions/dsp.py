@@ -210,22 +210,47 @@ def notch(f: float, q: float) -> np.ndarray:
     return np.array([[g, -2 * g * np.cos(w), g, 1, -2 * g * np.cos(w), 2 * g - 1]])
 
 
-def sosfilt(sos: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
-    """Sections one after another, all rows at once, sample by sample (direct form II transposed)."""
-    y = x.astype(float).copy()
-    begin = y[:, 0].copy()
+def _stepped(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sections one after another, all rows at once, sample by sample (direct form II transposed), from states [rows, 2 a section]: output and last states."""
+    y, last = np.ascontiguousarray(x.T), np.empty_like(state)
     for k, (b0, b1, b2, _, a1, a2) in enumerate(sos):
-        s1, s2 = (np.zeros(len(y)), np.zeros(len(y))) if state is None else (state[k, 0] * begin, state[k, 1] * begin)
+        s1, s2 = state[:, 2 * k], state[:, 2 * k + 1]
         out = np.empty_like(y)
-        columns = y.T
-        for i in range(y.shape[1]):
-            v = columns[i]
+        for i, v in enumerate(y):
             o = b0 * v + s1
             s1 = b1 * v - a1 * o + s2
             s2 = b2 * v - a2 * o
-            out[:, i] = o
+            out[i] = o
+        last[:, 2 * k], last[:, 2 * k + 1] = s1, s2
         y = out
-    return y
+    return y.T, last
+
+
+@lru_cache(maxsize=128)
+def _block(sos: bytes, size: int) -> tuple[np.ndarray, ...]:
+    """The filter over ``size`` samples as matrices: from samples and from states, to samples and to states."""
+    sections = np.frombuffer(sos).reshape(-1, 6)
+    ones = np.eye(size + 2 * len(sections))
+    y, last = _stepped(sections, ones[:, :size], ones[:, size:])
+    return y[:size].copy(), y[size:].copy(), last[:size].copy(), last[size:].copy()
+
+
+def sosfilt(sos: np.ndarray, x: np.ndarray, state: np.ndarray | None = None, size: int = 64) -> np.ndarray:
+    """Sections one after another, all rows at once; long signals in blocks of ``size`` samples, whose states are handed on."""
+    x = x.astype(float)
+    now = np.zeros((len(x), 2 * len(sos))) if state is None else x[:, :1] * state.reshape(1, -1)
+    whole = x.shape[1] // size
+    if whole < 8 or not len(x):
+        return _stepped(sos, x, now)[0]
+    to_y, from_state, to_state, on = _block(np.ascontiguousarray(sos, float).tobytes(), size)
+    parts = x[:, : whole * size].reshape(-1, size)
+    y, kick = (parts @ to_y).reshape(len(x), whole, size), (parts @ to_state).reshape(len(x), whole, -1)
+    states = np.empty_like(kick)
+    for i in range(whole):
+        states[:, i] = now
+        now = now @ on + kick[:, i]
+    y += states @ from_state
+    return np.concatenate([y.reshape(len(x), -1), _stepped(sos, x[:, whole * size :], now)[0]], axis=1)
 
 
 def _steady(sos: np.ndarray) -> np.ndarray:

@@ -10,14 +10,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Samples of a column that are stacked at once.
+STACK = 2**20
+
+
 def by_length(*columns: pd.Series) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Row numbers of equal lengths, with their signals stacked; null and empty signals are left out."""
+    """Row numbers of equal lengths, with their signals stacked, ``STACK`` samples at once; null and empty signals are left out."""
     sizes: dict[tuple[int, ...], list[int]] = {}
     for i, row in enumerate(zip(*columns, strict=True)):
         if all(x is not None and len(x) for x in row):
             sizes.setdefault(tuple(map(len, row)), []).append(i)
-    for rows in sizes.values():
-        yield np.array(rows), [np.stack([np.asarray(c.iloc[i], float) for i in rows]) for c in columns]
+    for lengths, all_rows in sizes.items():
+        most = max(1, STACK // max(lengths))
+        for k in range(0, len(all_rows), most):
+            rows = all_rows[k : k + most]
+            yield np.array(rows), [np.stack([np.asarray(c.iloc[i], float) for i in rows]) for c in columns]
 
 
 def array_kernel(f: Callable[..., np.ndarray], *columns: Column) -> Column:

@@ -103,8 +103,10 @@ def spectral_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A synthetic sensor pair for each supplier."""
-    return synthetic.sensor_pairs(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id")))
+    """A synthetic sensor pair for each supplier. The table is one small file, whose rows are dealt out to all cores, 256 a task at most."""
+    ids = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-ids.count() // 256))
+    return synthetic.sensor_pairs(ids.repartition(tasks))
 
 
 @query()

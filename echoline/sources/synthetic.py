@@ -85,10 +85,10 @@ def sensor_pairs(ids: DataFrame, seed: int = 42, n: int = 4096, length: float =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edge = int(length / speed * rate) + 1
-        for batch in batches:
+        for batch in (whole[k : k + 256] for whole in batches for k in range(0, len(whole), 256)):
             made = [np.random.default_rng([seed, i]) for i in batch.id]
             at = [rng.uniform(5, length - 5) for rng in made]
-            #: One filter run for the whole batch.
+            #: One filter run for a batch of 256.
             sources = dsp.bandpass(np.stack([rng.normal(0, 1, n + 2 * edge) for rng in made]), 150, 1400, rate) if made else []
             rows = []
             for i, x, rng, source in zip(batch.id, at, made, sources, strict=True):
