@@ -161,8 +161,8 @@ def peak_stability(c: Column, k: Column, side: int = 20) -> Column:
     Sidelobes lie ``side`` to twice ``side`` lags away; at an edge the curvature's share is a half.
     """
     size = F.size(c)
-    beside = lambda d: ((d >= -2 * side) & (d < -side)) | ((d >= side) & (d < 2 * side))
-    lobe = let(k, lambda k: F.array_max(F.transform(F.filter(c, lambda v, i: beside(i - k)), F.abs)))
+    cut = lambda a, b: F.slice(c, F.greatest(a, F.lit(0)) + 1, F.greatest(b - F.greatest(a, F.lit(0)), F.lit(0)))
+    lobe = F.array_max(F.transform(F.concat(cut(k - 2 * side, k - side), cut(k + side, k + 2 * side)), F.abs))
     ratio = F.abs(_at(c, k)) / (F.coalesce(lobe, F.lit(0.0)) + 1e-12)
     bend = F.abs(_at(c, k) - 0.5 * (_at(c, F.greatest(k - 1, F.lit(0))) + _at(c, F.least(k + 1, size - 1))))
     curved = F.when((k > 0) & (k < size - 1), F.tanh(10 * bend)).otherwise(F.lit(0.5))

@@ -404,16 +404,20 @@ def coherence_bands(f: np.ndarray, c: np.ndarray, floor: float = 0.7, width: flo
 def coherence_weighted(a: np.ndarray, b: np.ndarray, rate: float, exponent: float = 1.0) -> np.ndarray:
     """PHAT of each coherent band, weighted by its mean coherence; of the whole signal where there is none."""
     f, c = coherence(a, b, rate, 256, 128)
+    bands = [coherence_bands(f, row) for row in c]
+    parts = {(i, band): None for i, row in enumerate(bands) for band in row or [None]}
+    rows: dict[tuple[float, float] | None, list[int]] = {}
+    for i, band in parts:
+        rows.setdefault(band, []).append(i)
+    #: One filter run for all rows with a band.
+    for band, at in rows.items():
+        x, y = a[at], b[at]
+        for i, r in zip(at, gcc_circular(x, y) if band is None else gcc_circular(bandpass(x, *band, rate), bandpass(y, *band, rate)), strict=True):
+            parts[i, band] = r
     out = []
-    for i in range(len(a)):
-        x, y = a[i : i + 1], b[i : i + 1]
-        bands = coherence_bands(f, c[i])
-        if not bands:
-            out.append(gcc_circular(x, y)[0])
-            continue
-        weights = [float(c[i][(f >= lo) & (f <= hi)].mean()) ** exponent for lo, hi in bands]
-        parts = [gcc_circular(bandpass(x, lo, hi, rate), bandpass(y, lo, hi, rate))[0] for lo, hi in bands]
-        out.append(sum(w * p for w, p in zip(weights, parts, strict=True)) / sum(weights))
+    for i, row in enumerate(bands):
+        weights = [float(c[i][(f >= lo) & (f <= hi)].mean()) ** exponent for lo, hi in row]
+        out.append(sum(w * parts[i, band] for w, band in zip(weights, row, strict=True)) / sum(weights) if row else parts[i, None])
     return np.stack(out)
 
 
