@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from echoline.functions import constants as K
 from echoline.functions import physics as P
 from echoline.functions import text as X
+from echoline.operators import meetings
 from echoline.operators import relational as R
 from echoline.plans.registry import query, table
 
@@ -45,8 +46,13 @@ SELECT event_id_a, event_id_b, user_id_a, user_id_b, round(drift_s, 6) AS drift_
 """)
 def interval_pair_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best synchronised recordings of each sensor pair, up to the limit of a batch."""
-    best = R.first_by(matched(spark, sf_dir), ["user_id_a", "user_id_b"], F.col("drift_s"), F.col("event_id_a"), F.col("event_id_b"), n=K.MAX_BATCH_PAIRS, rank="place")
-    return best.select("event_id_a", "event_id_b", "user_id_a", "user_id_b", r(F.col("drift_s")).alias("drift_s"), "place")
+
+    def best(m: meetings.Columns) -> meetings.Columns:
+        at, place = meetings.first_of(m["pair"], (m["drift"], m["event_id_a"], m["event_id_b"]), K.MAX_BATCH_PAIRS)
+        return {n: m[n][at] for n in ("event_id_a", "event_id_b", "user_id_a", "user_id_b")} | {"drift_s": m["drift"][at] / 1e6, "place": place}
+
+    schema = "event_id_a long, event_id_b long, user_id_a long, user_id_b long, drift_s double, place int"
+    return meetings.by_sensor_pair(table(spark, sf_dir, "events"), 60.0, best, schema, values=False)
 
 
 def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
