@@ -292,14 +292,10 @@ t AS (SELECT *, row_number() OVER (PARTITION BY user_id_a, user_id_b ORDER BY co
 SELECT user_id_a, user_id_b, event_id_a, event_id_b, cluster_id, members, place, round(spot, 4) AS spot, round(conf, 4) AS conf FROM t WHERE place <= 10
 """)
 def located_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """End to end without a UDF: match, locate, score, cluster at 5 m, best of each cluster, ten best of each pair."""
-    keys = ["user_id_a", "user_id_b"]
-    c = R.gap_clusters(located(spark, sf_dir), keys, "spot", K.TOLERANCE_M, "event_id_a", "event_id_b")
-    best = F.max(F.struct("conf", (-F.col("event_id_a")).alias("a"), (-F.col("event_id_b")).alias("b"), "spot"))
-    top = c.groupBy(*keys, "cluster_id").agg(F.count("*").alias("members"), best.alias("best"))
-    top = top.select(*keys, (-F.col("best.a")).alias("event_id_a"), (-F.col("best.b")).alias("event_id_b"), F.col("cluster_id").cast("int").alias("cluster_id"), "members", F.col("best.spot").alias("spot"), F.col("best.conf").alias("conf"))
-    top = R.first_by(top, keys, F.desc("conf"), F.col("event_id_a"), F.col("event_id_b"), n=10, rank="place")
-    return top.withColumns({"spot": r(F.col("spot"), 4), "conf": r(F.col("conf"), 4)})
+    """End to end: match, locate, score, cluster at 5 m, best of each cluster, ten best of each pair."""
+    kernel = lambda m: meetings.located_clusters(m, K.TOLERANCE_M, 10)
+    schema = "user_id_a long, user_id_b long, event_id_a long, event_id_b long, cluster_id int, members long, place int, spot double, conf double"
+    return meetings.by_sensor_pair(table(spark, sf_dir, "events"), 60.0, kernel, schema)
 
 
 _NAMES = [
