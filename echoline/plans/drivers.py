@@ -12,6 +12,7 @@ from echoline.functions import constants as K
 from echoline.functions import dsp
 from echoline.functions import physics as P
 from echoline.functions import text as X
+from echoline.operators import meetings
 from echoline.operators import relational as R
 from echoline.operators.kernels import array_kernel, struct_kernel
 from echoline.plans import kernel_sql as Q
@@ -483,10 +484,10 @@ SELECT user_id_a, user_id_b, '{{"leaks":[' || string_agg('{{"distance_m":' || ro
 def leaks_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten surest results of each pair as one document."""
     fixed = lambda c, d: F.round(F.round(c, 6).cast("decimal(18,6)"), d).cast(f"decimal(18,{d})")
-    k = R.first_by(network.located(spark, sf_dir), ["user_id_a", "user_id_b"], F.desc(F.round("conf", 9)), F.col("event_id_a"), F.col("event_id_b"), n=10, rank="place")
-    one = F.struct("place", F.struct(fixed(F.col("spot"), 2).alias("distance_m"), fixed(F.col("conf"), 3).alias("confidence")).alias("leak"))
-    g = k.groupBy("user_id_a", "user_id_b").agg(F.array_sort(F.collect_list(one)).alias("z"))
-    return g.select("user_id_a", "user_id_b", F.to_json(F.struct(F.transform("z", lambda z: z["leak"]).alias("leaks"))).alias("json"))
+    g = meetings.by_sensor_pair(table(spark, sf_dir, "events"), 60.0, lambda m: meetings.surest(m, 10), "user_id_a long, user_id_b long, leaks array<struct<spot: double, conf: double>>")
+    g = g.withColumn("leaks", F.filter("leaks", lambda z: z["spot"].isNotNull()))
+    leaks = F.transform("leaks", lambda z: F.struct(fixed(z["spot"], 2).alias("distance_m"), fixed(z["conf"], 3).alias("confidence")))
+    return g.select("user_id_a", "user_id_b", F.when(F.size("leaks") > 0, F.to_json(F.struct(leaks.alias("leaks")))).alias("json"))
 
 
 # Datasets.
