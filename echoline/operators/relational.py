@@ -96,3 +96,44 @@ def even_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int = 1024)
     width = F.col("_hi") - F.col("_lo")
     bin_ = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0))
     return null_safe_join(df, range_, keys), bin_
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], extra: dict[str, tuple[str, str]] | None = None, bins: int = 65536) -> DataFrame:
+    """Exact interpolated quantiles of ``value`` for each of a few keys: a row a key with its columns ``n`` (rows) and ``shares``.
+
+    Values are counted in bins of 1/``bins`` first; then only the values in the bins that hold a wanted rank are ranked, so
+    no task sees a key's values. ``df`` is worked out twice. ``extra``: sums that come along, as name: (column, sum or count).
+    """
+    def bin_of(c: str) -> Column:
+        return F.floor(F.col(c) * bins)
+
+    by = lambda *order: Window.partitionBy(*keys).orderBy(*order)
+    more = {k: (c, how) for k, (c, how) in (extra or {}).items()}
+    known = F.count(value).alias("_c")
+    sums = df.groupBy(*keys, bin_of(value).alias("_bin")).agg(F.count("*").alias("_n"), known, *[getattr(F, how)(c).alias(k) for k, (c, how) in more.items()])
+    total = sums.groupBy(*keys).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.sum("_c").alias("_all"), *[F.sum(k).alias(k) for k in more])
+    #: The two ranks, from 0, around each quantile.
+    at = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), ((F.col("_all") - 1) * F.lit(share)).alias("at")) for name, share in shares.items()]))
+    wanted = total.filter("_all > 0").select(*keys, at.alias("w")).select(*keys, "w.*").withColumns({"lower": F.floor("at"), "upper": F.ceil("at")})
+    full = sums.filter("_bin IS NOT NULL").withColumn("_upto", F.sum("_c").over(by("_bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_before", F.col("_upto") - F.col("_c"))
+    holds = lambda rank: (F.col(rank) >= F.col("_before")) & (F.col(rank) < F.col("_upto"))
+    hits = null_safe_inner(full.select(*keys, "_bin", "_before", "_upto"), wanted, keys).filter(holds("lower") | holds("upper"))
+    chosen = hits.select(*keys, "_bin", "_before").distinct()
+    few = null_safe_inner(df.select(*keys, value, bin_of(value).alias("_bin")), chosen, [*keys, "_bin"])
+    few = few.groupBy(*keys, "_bin", "_before", value).agg(F.count("*").alias("_n"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    few = few.withColumn("_upto", F.col("_before") + F.sum("_n").over(inside)).withColumn("_before", F.col("_upto") - F.col("_n"))
+    ends = null_safe_inner(few, wanted, keys).groupBy(*keys, "name", "at", "lower", "upper").agg(*[F.max(F.when(holds(x), F.col(value))).alias(f"_{x}") for x in ("lower", "upper")])
+    q = F.when(F.col("lower") == F.col("upper"), F.col("_lower")).otherwise((F.col("upper") - F.col("at")) * F.col("_lower") + (F.col("at") - F.col("lower")) * F.col("_upper"))
+    ends = ends.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, q)).alias(name) for name in shares])
+    missing = {k: ends[k] for k in shares}
+    left = ends.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *missing)
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys), F.lit(True))
+    return total.join(F.broadcast(left), same, "left").select(*keys, "n", *more, *shares)
+
+
+def null_safe_inner(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with the columns of the rows of ``small`` that have its keys, null keys included."""
+    named = small.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in small.columns if c not in keys])
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys), F.lit(True))
+    return df.join(F.broadcast(named), same).drop(*(f"_key_{k}" for k in keys))

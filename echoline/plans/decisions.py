@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from echoline.functions import dsp
 from echoline.functions import physics as P
+from echoline.operators import meetings
 from echoline.operators import relational as R
 from echoline.plans import kernel_sql, network
 from echoline.plans.registry import query, table
@@ -309,8 +310,9 @@ def qa_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_L}, p AS (SELECT user_id_a, user_id_b, avg(conf) AS c, avg(snr) AS s FROM l GROUP BY ALL) SELECT count(*) AS pairs, round(avg(c), 6) AS mean_of_means, round(avg(s), 6) AS snr_of_means, round(quantile_cont(c, 0.95), 6) AS p95 FROM p")
 def processing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the pairs' means, not pooled."""
-    p = results(spark, sf_dir).groupBy("user_id_a", "user_id_b").agg(F.avg("conf").alias("c"), F.avg("snr").alias("s"))
-    return p.agg(F.count("*").alias("pairs"), r(F.avg("c")).alias("mean_of_means"), r(F.avg("s")).alias("snr_of_means"), r(F.percentile("c", F.lit(0.95))).alias("p95"))
+    p = meetings.by_sensor_pair(table(spark, sf_dir, "events"), 60.0, meetings.mean_confidence, "c double, s double")
+    q = R.quantiles(p, [], "c", {"p95": 0.95}, {"c_sum": ("c", "sum"), "s_sum": ("s", "sum")})
+    return q.select(F.col("n").alias("pairs"), r(F.col("c_sum") / F.col("n")).alias("mean_of_means"), r(F.col("s_sum") / F.col("n")).alias("snr_of_means"), r(F.col("p95")).alias("p95"))
 
 
 @query(f"{_L}, b AS (SELECT coalesce(CASE WHEN band <> 'click' THEN band END, 'unknown') AS band, conf FROM l) SELECT band, count(*) AS n, round(avg(conf), 6) AS mean, round(quantile_cont(conf, 0.25), 6) AS q1, round(median(conf), 6) AS q2, round(quantile_cont(conf, 0.75), 6) AS q3 FROM b GROUP BY band")
