@@ -319,8 +319,9 @@ def processing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def band_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spread of confidence by band; a missing band is unknown."""
     band = F.coalesce(F.when(F.col("band") != "click", F.col("band")), F.lit("unknown"))
-    q = lambda p: r(F.percentile("conf", F.lit(p)))
-    return results(spark, sf_dir).groupBy(band.alias("band")).agg(F.count("*").alias("n"), r(F.avg("conf")).alias("mean"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"))
+    shares = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+    q = R.quantiles(results(spark, sf_dir).select(band.alias("band"), "conf"), ["band"], "conf", shares, {"total": ("conf", "sum"), "known": ("conf", "count")})
+    return q.select("band", "n", r(F.col("total") / F.col("known")).alias("mean"), *[r(F.col(k)).alias(k) for k in shares])
 
 
 @query(f"{_L}, k AS (SELECT *, row_number() OVER (ORDER BY conf DESC, event_id_a, event_id_b) AS place FROM l) SELECT event_id_a, event_id_b, round(conf, 6) AS conf, place::INTEGER AS place, ((place - 1) // 15)::BIGINT AS page FROM k WHERE place <= 45")
