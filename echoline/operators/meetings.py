@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,13 +181,27 @@ def located_clusters(m: Columns, gap: float, n: int) -> Columns:
     }
 
 
+def _fixed(x: np.ndarray, digits: int) -> list[object]:
+    """Parts of the text of numbers that are rounded to six digits, then to fewer."""
+    micro = rounded(x, 6) * 1e6
+    size, unit = np.abs(np.rint(micro)).astype(np.int64), 10 ** (6 - digits)
+    size = (size + unit // 2) // unit
+    sign = pa.array(["", "-"]).take(pa.array(((micro < 0) & (size > 0)).astype(np.int8)))
+    rest = pa.array([f"{k:0{digits}d}" for k in range(10**digits)]).take(pa.array(size % 10**digits))
+    return [sign, pa.array(size // 10**digits).cast(pa.string()), ".", rest]
+
+
 def surest(m: Columns, n: int) -> Columns:
-    """The ``n`` surest matches of each pair of sensors in one row, in order; confidence is compared to nine digits."""
+    """The ``n`` surest matches of each pair of sensors as one document, in order; confidence is compared to nine digits. Unknown positions are left out."""
     spot, null, conf = located(m)
     row, place = first_of(m["pair"], (-np.round(conf, 9), m["event_id_a"], m["event_id_b"]), n)
-    starts = np.flatnonzero(place == 1)
-    leaks = pa.StructArray.from_arrays([pa.array(spot[row], mask=null[row]), pa.array(conf[row])], names=["spot", "conf"])
-    return {k: m[k][row[starts]] for k in ("user_id_a", "user_id_b")} | {"leaks": pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)], pa.int32()), leaks)}
+    starts, known = np.flatnonzero(place == 1), ~null[row]
+    some = row[known]
+    each = pc.binary_join_element_wise('{"distance_m":', *_fixed(spot[some], 2), ',"confidence":', *_fixed(conf[some], 3), "}", "")
+    ends = np.r_[0, np.cumsum(known)][np.r_[starts, len(row)]]
+    listed = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each), ",")
+    json = pc.binary_join_element_wise('{"leaks":[', pc.if_else(pa.array(np.diff(ends) > 0), listed, pa.scalar(None, pa.string())), "]}", "")
+    return {k: m[k][row[starts]] for k in ("user_id_a", "user_id_b")} | {"json": json}
 
 
 def mean_confidence(m: Columns) -> Columns:

@@ -483,11 +483,7 @@ SELECT user_id_a, user_id_b, '{{"leaks":[' || string_agg('{{"distance_m":' || ro
 """)
 def leaks_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten surest results of each pair as one document."""
-    fixed = lambda c, d: F.round(F.round(c, 6).cast("decimal(18,6)"), d).cast(f"decimal(18,{d})")
-    g = meetings.by_sensor_pair(table(spark, sf_dir, "events"), 60.0, lambda m: meetings.surest(m, 10), "user_id_a long, user_id_b long, leaks array<struct<spot: double, conf: double>>")
-    g = g.withColumn("leaks", F.filter("leaks", lambda z: z["spot"].isNotNull()))
-    leaks = F.transform("leaks", lambda z: F.struct(fixed(z["spot"], 2).alias("distance_m"), fixed(z["conf"], 3).alias("confidence")))
-    return g.select("user_id_a", "user_id_b", F.when(F.size("leaks") > 0, F.to_json(F.struct(leaks.alias("leaks")))).alias("json"))
+    return meetings.by_sensor_pair(table(spark, sf_dir, "events"), 60.0, lambda m: meetings.surest(m, 10), "user_id_a long, user_id_b long, json string")
 
 
 # Datasets.
