@@ -10,8 +10,8 @@ frees; the root has an arc for every known word and one for all unknown words. A
 the longest history that is a state. One traversal of a document from left to right
 carries the state and adds up the weights.
 
-Scale: neither the model nor the corpus's counts fit anywhere whole. Documents are dealt
-by row into blocks of about ``block_mb`` of text. A block sorts the hashes of its distinct
+Scale: neither the model nor the corpus's counts fit anywhere whole. Every partition cuts its
+rows, as they come, into blocks of about ``block_mb`` of text. A block sorts the hashes of its distinct
 n-grams and sends every shard those of its range, with their counts from training
 documents; a shard adds up the blocks' counts and sends back, in the same order, the totals
 of just the n-grams that the block asked for. The block then builds the part of the automaton
@@ -19,6 +19,10 @@ that its documents can reach and traverses them. N-grams are hashed whole, so a
 frequent word has no shard of its own: it is one entry a block, as any other n-gram is.
 Shards hold about ``shard_entries`` entries of all blocks.
 
+Texts are read twice and shuffled once, to meet the answers, a compressed block a row. Both readings must bring
+the same rows in the same order, as files do. A block's number holds a hash of its content, so that one that
+finds no answers, or answers that find no block, stop the job.
+
 Words are told apart by 56 bits within their shard, longer n-grams by 40: of those one in a
 million is counted with another.
 
@@ -30,12 +34,15 @@ a uniform choice among unknown words and the end.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoline.llm.common import held_out, materialise
+from echoline.llm.common import held_out, materialise, release
 
 #: A token that no word can equal, for the end of a document; as a history it is a document's start.
 END = b" "
@@ -126,6 +133,53 @@ class Block:
         return out
 
 
+def cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """The rows in blocks that end with the row that brings their texts to ``limit`` bytes, whatever batches they come in."""
+    held: list[pa.RecordBatch] = []
+    room = limit
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = spent = 0
+        while at < batch.num_rows:
+            last = min(int(np.searchsorted(ends, spent + room)), batch.num_rows - 1)
+            held.append(batch.slice(at, last + 1 - at))
+            room -= int(ends[last]) - spent
+            at, spent = last + 1, int(ends[last])
+            if room <= 0:
+                yield pa.Table.from_batches(held)
+                held, room = [], limit
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def number(table: pa.Table, partition: int, nth: int) -> int:
+    """The number of the ``nth`` block of a partition: a hash of its place and of its rows."""
+    import xxhash
+
+    texts = table["text"].to_pylist()
+    rows = [(i, None if t is None else len(t)) for i, t in zip(table["doc_id"].to_pylist(), texts, strict=True)]
+    digest = xxhash.xxh64(repr((partition, nth, rows)).encode())
+    for t in texts:
+        digest.update(t or b"")
+    return digest.intdigest() - (1 << 63)
+
+
+def press(table: pa.Table) -> bytes:
+    """A block as one compressed value."""
+    import zstandard
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+
+
+def unpress(data: bytes) -> pa.Table:
+    import zstandard
+
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()
+
+
 def pack(*columns: np.ndarray) -> bytes:
     """Columns of non-negative integers: all lowest bytes, then the next, compressed."""
     import zstandard
@@ -246,44 +300,70 @@ class Automaton:
 
 
 class Scores:
-    """Scores every row of ``docs``; see the module for the model and the plan. ``strength``: k of the smoothing."""
+    """Scores every row of ``docs``; see the module for the model and the plan.
+
+    ``strength``: k of the smoothing. ``spread_mb``: tables with less text, which may be one row group and so one task,
+    are dealt out by row first.
+    """
 
-    def __init__(self, docs: DataFrame, block_mb: float = 3.0, shard_entries: int = 1_500_000, strength: float = 16.0):
+    def __init__(self, docs: DataFrame, block_mb: float = 5.0, shard_entries: int = 1_500_000, strength: float = 16.0, spread_mb: float = 64.0):
         self.docs, self.strength = docs, strength
         size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
         n_bytes = (size[0] or 0) + size[1]
-        self.blocks = max(1, round(n_bytes / (block_mb * 1e6)))
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        #: Tasks of a megabyte at least.
+        self.spread = max(1, min(cores, int(n_bytes // 1e6))) if n_bytes < spread_mb * 1e6 else 0
+        self.limit = max(1, int(block_mb * 1e6))
+        self.blocks = max(1, round(n_bytes / self.limit))
         #: About two entries for every five bytes, of the three orders.
         self.bits = max(0, round(np.log2(max(1, 0.4 * n_bytes / shard_entries))))
 
     def scored(self) -> DataFrame:
-        bits, strength = self.bits, self.strength
+        bits, strength, limit = self.bits, self.strength, self.limit
         out = held_out(F.col("doc_id"), 10, 0)
-        block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(self.blocks)).cast("int")
-        dealt = self.docs.select(block.alias("block"), "doc_id", out.alias("held_out"), F.col("text").cast("binary").alias("text"))
-        #: The second use must see the same blocks, and rows of a block in an order of their own.
-        dealt = dealt.repartition(self._tasks(self.blocks), "block")
+        rows = self.docs.select("doc_id", out.alias("held_out"), F.col("text").cast("binary").alias("text"))
+        if self.spread:
+            #: Sorted, since both readings must bring the same order.
+            rows = rows.withColumn("row", F.monotonically_increasing_id()).repartition(self.spread, "row").sortWithinPartitions("row").drop("row")
+
+        def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+            from pyspark import TaskContext
+
+            partition = TaskContext.get().partitionId()
+            for nth, table in enumerate(cut(batches, limit)):
+                yield number(table, partition, nth), table
+            release()
 
         def of(table: pa.Table) -> Block:
             return Block(table["text"].to_pylist(), [not h for h in table["held_out"].to_pylist()])
 
-        def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            rows = of(table).requests(bits)
-            return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, table in numbered(batches):
+                asked = of(table).requests(bits)
+                columns = [pa.array([r[0] for r in asked], pa.int32()), pa.array([block] * len(asked), pa.int64()), pa.array([r[1] for r in asked], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "block", "packed"])
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, table in numbered(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([press(table)], pa.binary())], names=["block", "texts"])
 
         def total(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             totals, figures = add_up(table["packed"].to_pylist())
             return pa.table({
-                "block": pa.concat_arrays([*table["block"].chunks, pa.array([-1], pa.int32())]), "shard": pa.array([key[0].as_py()] * (len(totals) + 1), pa.int32()),
+                "block": pa.concat_arrays([*table["block"].chunks, pa.array([None], pa.int64())]), "shard": pa.array([key[0].as_py()] * (len(totals) + 1), pa.int32()),
                 "packed": pa.array([*totals, pack(figures)], pa.binary()),
             })
 
-        asked = dealt.groupBy("block").applyInArrow(ask, "shard int, block int, packed binary")
-        totals = asked.repartition(self._tasks(1 << bits), "shard").groupBy("shard").applyInArrow(total, "block int, shard int, packed binary")
+        asked = rows.mapInArrow(ask, "shard int, block long, packed binary")
+        totals = asked.repartition(self._tasks(1 << bits), "shard").groupBy("shard").applyInArrow(total, "block long, shard int, packed binary")
         totals = materialise(totals, "totals")
-        figures = _figures(totals.filter("block = -1"))
+        #: A shard's own row has no block.
+        figures = _figures(totals.filter("block IS NULL"))
 
-        def score(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
+        def score(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
+            if texts.num_rows != 1 or not answers.num_rows:
+                raise RuntimeError("the second reading of the documents brought other rows than the first, or in another order; store them first")
+            table = unpress(texts["texts"][0].as_py())
             b = of(table)
             columns = zip(*[unpack(x) for x in answers.sort_by("shard")["packed"].to_pylist()], strict=True)
             counts = [np.concatenate(c).astype(np.int64) for c in columns]
@@ -300,8 +380,11 @@ class Scores:
             })
 
         schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        answers = totals.filter("block >= 0").repartition(self._tasks(self.blocks), "block")
-        return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+        #: Blocks are few and large: as many tasks, so that chance puts few into one.
+        tasks = self._tasks(2 * self.blocks)
+        kept = rows.mapInArrow(keep, "block long, texts binary").repartition(tasks, "block")
+        answers = totals.filter("block IS NOT NULL").repartition(tasks, "block")
+        return kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
 
     def _tasks(self, groups: int) -> int:
         """Tasks for so many groups: two groups a task, as many as the session's setting at least."""

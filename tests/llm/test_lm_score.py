@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from echoline.llm import lm_score
@@ -129,3 +130,64 @@ def test_requests_and_answers(bits):
     block, machine = model(texts, [i % 3 > 0 for i in range(40)], bits)
     plain = Plain([t.decode() for i, t in enumerate(texts) if i % 3])
     assert np.allclose(machine.traverse(block), [plain.score(t.decode()) for t in texts])
+
+
+def test_texts_are_shuffled_once(spark, tmp_path):
+    """Shuffled bytes, requests and answers included, are fewer than the texts': two shuffles of them alone were more."""
+    rng = random.Random(10)
+    vocab = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(6, 14))) for _ in range(3000)]
+    kinds = [" ".join(rng.choice(vocab) for _ in range(4000)) for _ in range(20)]
+    rows = [(i, kinds[i % 20]) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "docs"))
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = written()
+    assert len(lm_score.score(spark.read.parquet(str(tmp_path / "docs")), spread_mb=0).collect()) == 200
+    assert written() - before < sum(len(t) for _, t in rows)
+
+
+def test_blocks_follow_the_rows_not_their_batches():
+    rng = random.Random(11)
+    texts = [None if rng.random() < 0.1 else b"x" * rng.choice([0, 1, 9, 40, 500]) for _ in range(300)]
+    table = pa.table({"doc_id": pa.array(range(300), pa.int64()), "text": pa.array(texts, pa.binary())})
+    seen = []
+    for size in (1, 7, 64, 1000):
+        blocks = list(lm_score.cut(iter(table.to_batches(max_chunksize=size)), 200))
+        assert pa.concat_tables(blocks).equals(table) and max(b.num_rows for b in blocks) <= 200
+        assert all(sum(len(t or b"") + 1 for t in b["text"].to_pylist()) >= 200 for b in blocks[:-1])
+        assert all(lm_score.unpress(lm_score.press(b)).equals(b) for b in blocks)
+        seen.append([(b.num_rows, lm_score.number(b, 3, k)) for k, b in enumerate(blocks)])
+    assert seen.count(seen[0]) == len(seen) and len(set(seen[0])) == len(seen[0]) > 20
+    assert list(lm_score.cut(iter([]), 200)) == []
+
+
+def test_equal_blocks_are_counted_each(spark):
+    """Partitions and blocks with the same rows keep their own numbers."""
+    rows = [(1, "a b a"), (1, "a b a")] * 8
+    out = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block_mb=0.00001, spread_mb=0).collect()
+    assert sorted({(r.n_tokens, r.train_tokens) for r in out}) == [(4, 64)] and len(out) == 16
+
+
+@pytest.mark.parametrize("spread_mb", [0, 64])
+def test_other_rows_at_the_second_reading_stop_the_job(spark, spread_mb):
+    def run(batches):
+        import os
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([os.urandom(4).hex() for _ in range(batch.num_rows)])], names=["doc_id", "text"])
+
+    docs = spark.range(8).mapInArrow(run, "doc_id long, text string")
+    with pytest.raises(Exception, match="second reading"):
+        lm_score.score(docs, spread_mb=spread_mb).collect()
+
+
+@pytest.mark.parametrize("spread_mb", [0, 64])
+def test_partitions_cut_and_spread(spark, spread_mb):
+    rng = random.Random(12)
+    rows = [(i, None if i % 50 == 3 else " ".join(f"w{int(rng.paretovariate(0.6)) % 20000}" for _ in range(rng.randrange(0, 900)))) for i in range(1500)]
+    out = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), block_mb=0.1, shard_entries=20_000, spread_mb=spread_mb).collect()
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in out) == brute(rows)
