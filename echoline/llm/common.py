@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -90,6 +91,12 @@ def drop_scratch(spark: SparkSession) -> int:
     return _delete(spark, folders)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffles that nothing refers to any more leave the executors' disks when the driver collects garbage, which may be much later: have it done."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(table: DataFrame, rows: int = 500_000) -> DataFrame:
     """``table`` (materialised, a few numbers a row) marked for broadcasting if a count shows that it is short."""
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table

@@ -23,8 +23,8 @@ Texts are read twice and shuffled once, to meet the answers, a compressed block
 the same rows in the same order, as files do. A block's number holds a hash of its content, so that one that
 finds no answers, or answers that find no block, stop the job.
 
-Words are told apart by 56 bits within their shard, longer n-grams by 40: of those one in a
-million is counted with another.
+Words are told apart by 56 bits within their shard (64 in all at most), longer n-grams by 44: of those one in
+ten million is counted with another.
 
 Cases: a null text is empty and consists of the end token alone; a null id counts as the
 empty text for the folds (crc32 0: held out); repeated rows count and are scored each; an
@@ -42,12 +42,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoline.llm.common import held_out, materialise, release
+from echoline.llm.common import free_shuffles, held_out, materialise, release
 
 #: A token that no word can equal, for the end of a document; as a history it is a document's start.
 END = b" "
-#: Bytes by which shards tell n-grams of each order apart.
-_WIDTH = (7, 5, 5)
+#: Bits by which shards tell n-grams of each order apart.
+_WIDTH = (56, 44, 44)
 ORDER = len(_WIDTH)
 
 
@@ -64,20 +64,22 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """The distinct n-grams of one order in a block, sorted by hash."""
+    """The distinct n-grams of one order in a block, sorted by hash. A block has fewer than 2^31 tokens."""
 
     def __init__(self, keys: np.ndarray, learn: np.ndarray):
         order = np.argsort(keys)
         found = keys[order]
+        order = order.astype(np.int32)
         new = np.ones(len(found), bool)
         new[1:] = found[1:] != found[:-1]
         starts = np.flatnonzero(new)
         self.hashes = found[starts]
+        del found
         #: One occurrence of each, which n-gram each occurrence is, and the count in training documents.
         self.one = order[starts]
-        self.which = np.empty(len(keys), np.int64)
-        self.which[order] = np.cumsum(new) - 1
-        self.counts = np.add.reduceat(learn[order].astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
+        self.which = np.empty(len(keys), np.int32)
+        self.which[order] = np.cumsum(new, dtype=np.int32) - 1
+        self.counts = np.add.reduceat(learn[order].astype(np.int32), starts) if len(starts) else np.empty(0, np.int32)
 
 
 class Block:
@@ -88,25 +90,32 @@ class Block:
 
         place: dict[bytes, int] = {END: 0}
         setdefault = place.setdefault
-        ids = [np.array([setdefault(w, len(place)) for w in tokens(t)], np.int64) for t in texts]
+        ids = [np.array([setdefault(w, len(place)) for w in tokens(t)], np.int32) for t in texts]
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(w, 7) for w in place), np.uint64, len(place))
         self.sizes = np.array([len(d) for d in ids], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        flat = np.concatenate(ids) if ids else np.empty(0, np.int64)
+        flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+        del place, setdefault, ids
         learn = np.repeat(np.array(training, bool), self.sizes)
         word = hashes[flat]
+        del flat
         before = np.empty_like(word)
         before[1:], before[self.starts] = word[:-1], hashes[0]
         pair = _mixed(before, word)
         #: A document's first token has no history of two.
-        third = np.ones(len(flat), bool)
+        third = np.ones(len(word), bool)
         third[self.starts] = False
         last = np.flatnonzero(third)
         triple = _mixed(pair[last - 1], word[last] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-        self.grams = [Grams(word, learn), Grams(pair, learn), Grams(triple, learn[last])]
-        words, pairs, triples = self.grams
-        third_at = np.zeros(len(flat), np.int64)
+        pairs = Grams(pair, learn)
+        del pair
+        triples = Grams(triple, learn[last])
+        del triple
+        words = Grams(word, learn)
+        del word
+        self.grams = [words, pairs, triples]
+        third_at = np.zeros(len(before), np.int32)
         third_at[last] = triples.which
         self.at = [words.which, pairs.which, third_at]
         #: The start of a document, as a word; it is there, as every document has an end.
@@ -121,7 +130,7 @@ class Block:
         """(shard, packed n-grams) for each of the ``2 ** bits`` shards that this block has n-grams of."""
         edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.empty(0, np.uint64)
         cuts = [np.concatenate([[0], np.searchsorted(g.hashes, edges), [len(g.hashes)]]) for g in self.grams]
-        short = [(g.hashes << np.uint64(bits)) >> np.uint64(64 - 8 * w) for g, w in zip(self.grams, _WIDTH, strict=True)]
+        short = [(g.hashes << np.uint64(bits)) >> np.uint64(64 - w) for g, w in zip(self.grams, _WIDTH, strict=True)]
         out = []
         for s in range(1 << bits):
             runs = [(c[s], c[s + 1]) for c in cuts]
@@ -186,9 +195,10 @@ def pack(*columns: np.ndarray) -> bytes:
 
     parts = [bytes([len(columns)])]
     for c in columns:
-        width = (int(c.max()).bit_length() + 7) // 8 if len(c) else 0
+        width, length = (int(c.max()).bit_length() + 7) // 8 if len(c) else 0, (len(c).bit_length() + 7) // 8
         planes = np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-        parts += [len(c).to_bytes(8, "little"), bytes([width]), planes.tobytes()]
+        #: Most messages of a large corpus are short: as few bytes of length as it has.
+        parts += [bytes([width << 4 | length]), len(c).to_bytes(length, "little"), planes.tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -198,11 +208,13 @@ def unpack(data: bytes) -> list[np.ndarray]:
     view = memoryview(zstandard.ZstdDecompressor().decompress(data))
     at, out = 1, []
     for _ in range(view[0]):
-        n, width = int.from_bytes(view[at : at + 8], "little"), view[at + 8]
+        width, length = view[at] >> 4, view[at] & 15
+        at += 1 + length
+        n = int.from_bytes(view[at - length : at], "little")
         values = np.zeros((n, 8), np.uint8)
-        values[:, :width] = np.frombuffer(view, np.uint8, n * width, at + 9).reshape(width, n).T
+        values[:, :width] = np.frombuffer(view, np.uint8, n * width, at).reshape(width, n).T
         out.append(values.view("<u8").reshape(-1))
-        at += 9 + n * width
+        at += n * width
     return out
 
 
@@ -246,13 +258,13 @@ class Automaton:
         p1 = np.where(words > 0, (words - d) / max(n, 1), d * v / n if n else 0.5)
         known = words > 0
         self.unknown = np.log10(d * v / n if n else 0.5)
-        w1, t1 = np.log10(p1), np.where(known, np.arange(len(words)), -1)
+        w1, t1 = np.log10(p1), np.where(known, np.arange(len(words), dtype=np.int32), np.int32(-1))
 
         first, second = block.pair
         fail = np.log10(strength / (words + strength))
         p2 = (pairs + strength * p1[second]) / (words[first] + strength)
         w2 = np.where(pairs > 0, np.log10(p2), fail[first] + w1[second])
-        t2 = np.where(pairs > 0, self.pairs + np.arange(len(pairs)), t1[second])
+        t2 = np.where(pairs > 0, np.arange(self.pairs, self.pairs + len(pairs), dtype=np.int32), t1[second])
 
         history, suffix = block.triple
         fail = np.log10(strength / (pairs + strength))
@@ -306,7 +318,7 @@ class Scores:
     are dealt out by row first.
     """
 
-    def __init__(self, docs: DataFrame, block_mb: float = 5.0, shard_entries: int = 1_500_000, strength: float = 16.0, spread_mb: float = 64.0):
+    def __init__(self, docs: DataFrame, block_mb: float = 8.0, shard_entries: int = 3_000_000, strength: float = 16.0, spread_mb: float = 64.0):
         self.docs, self.strength = docs, strength
         size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
         n_bytes = (size[0] or 0) + size[1]
@@ -359,6 +371,9 @@ class Scores:
         totals = materialise(totals, "totals")
         #: A shard's own row has no block.
         figures = _figures(totals.filter("block IS NULL"))
+        #: The job of the figures has replaced what Spark still held of the one before.
+        del asked
+        free_shuffles(self.docs.sparkSession)
 
         def score(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
             if texts.num_rows != 1 or not answers.num_rows:

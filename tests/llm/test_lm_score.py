@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -191,3 +192,30 @@ def test_partitions_cut_and_spread(spark, spread_mb):
     rows = [(i, None if i % 50 == 3 else " ".join(f"w{int(rng.paretovariate(0.6)) % 20000}" for _ in range(rng.randrange(0, 900)))) for i in range(1500)]
     out = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), block_mb=0.1, shard_entries=20_000, spread_mb=spread_mb).collect()
     assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in out) == brute(rows)
+
+
+def test_requests_leave_the_disk_before_texts_are_shuffled(spark):
+    """The shuffle of the requests is freed once their totals are stored, not whenever the driver next collects garbage."""
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        found = files.getAllFiles()
+        names = {found.apply(i).getName() for i in range(found.size())}
+        return {n: files.getFile(n).length() for n in names if n.endswith(".data")}
+
+    rows = [(i, " ".join(f"w{i * j % 997}" for j in range(30))) for i in range(300)]
+    before = shuffles()
+    scored = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), block_mb=0.002, shard_entries=400)
+    end = time.time() + 20
+    #: The requests are some 180 kB; what sums leave is a few hundred bytes each.
+    while (left := sum(size for name, size in shuffles().items() if name not in before)) > 5000 and time.time() < end:
+        time.sleep(0.2)
+    assert left <= 5000 and scored.count() == 300
+
+
+def test_messages_keep_lengths_and_widths():
+    for n in (0, 1, 90, 255, 256, 70_000):
+        columns = [np.arange(n, dtype=np.int64) * k for k in (0, 1, 2**20)] + [np.full(n, 2**64 - 1, np.uint64)]
+        back = lm_score.unpack(lm_score.pack(*columns))
+        assert all(np.array_equal(a.astype(np.uint64), b) for a, b in zip(columns, back, strict=True))
+    assert len(lm_score.pack(*[np.ones(1, np.int64)] * 6)) < 40
